@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import leakage, mixing, sequences, term_counts
+from wakeline.llm import encoding, leakage, mixing, pairs, sequences, term_counts
 from wakeline.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.term_frequencies(table(spark, sf, "global_memory"), "thought_id", "keywords")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "call_stat").filter("call_type = 'behavior_extraction'").groupBy("thought_id").agg(F.min("prompt").alias("prompt"))
+    memories = table(spark, sf, "global_memory").groupBy("thought_id").agg(F.min("behavior_explanation").alias("answer"))
+    return pairs.broken_pairs(memories.join(calls, "thought_id", "left"), "thought_id", "prompt", "answer")
+
+
 def _accepted(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "assignments").filter("assignment_accepted")
 
@@ -50,8 +56,16 @@ def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
 
 
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.garbled(table(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_restored(spark, sf).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    found = [p2_found, p2_terms, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents]
+    found = [p2_found, p2_terms, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
