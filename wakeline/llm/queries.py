@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import encoding, leakage, mixing, pairs, sequences, term_counts
+from wakeline.llm import encoding, leakage, mixing, near_duplicates, pairs, sequences, term_counts
 from wakeline.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.term_frequencies(table(spark, sf, "global_memory"), "thought_id", "keywords")
 
 
+def _similar(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates.similar_classes(table(spark, sf, "global_memory"), "thought_id", ["behavior_explanation", "pattern_description"])
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.similar_pairs(*_similar(spark, sf)).select(F.col("a").alias("thought_id_a"), F.col("b").alias("thought_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.duplicate_groups(*_similar(spark, sf)).withColumnRenamed("key", "thought_id")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     calls = table(spark, sf, "call_stat").filter("call_type = 'behavior_extraction'").groupBy("thought_id").agg(F.min("prompt").alias("prompt"))
     memories = table(spark, sf, "global_memory").groupBy("thought_id").agg(F.min("behavior_explanation").alias("answer"))
@@ -65,7 +77,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p2_found, p2_terms, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
+    found = [p2_found, p2_terms, p3_found, p3_groups, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
