@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +44,21 @@ def spill_folder(spark: SparkSession) -> str | None:
     if at.startswith("file:"):
         return "/" + at[5:].lstrip("/")
     return at if at.startswith("/") else None
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of the session's application, once, by Spark's own file distribution."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="wakeline-ship-")) / "wakeline.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped[app] = str(path)
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
