@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.llm import clusters as similar_clusters
 from wakeline.llm import encoding, leakage, mixing, near_duplicates, pairs, sequences, term_counts
 from wakeline.llm.text import table
+from wakeline.storage import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_clusters.clusters(table(spark, sf, "global_memory"), "thought_id", "embedding")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _clusters(spark, sf).select("cluster_key", "thought_id")
+
+
+def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_clusters.describe(keep(_clusters(spark, sf), "members"), table(spark, sf, "global_memory"), "thought_id", "pattern_description")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_terms(spark, sf).filter("band <> 'useful'").select("term", "band")
 
@@ -77,7 +91,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p2_found, p2_terms, p3_found, p3_groups, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
+    found = [p1_found, p1_clusters, p2_found, p2_terms, p3_found, p3_groups, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
