@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import clusters as similar_clusters
-from wakeline.llm import encoding, leakage, mixing, near_duplicates, pairs, sequences, term_counts
+from wakeline.llm import encoding, leakage, mixing, near_duplicates, neighbours, pairs, sequences, term_counts
 from wakeline.llm.text import table
 from wakeline.storage import keep
 
@@ -47,6 +47,14 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.duplicate_groups(*_similar(spark, sf)).withColumnRenamed("key", "thought_id")
 
 
+def p4_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, sf, "global_memory"), "thought_id", "embedding")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.mutual_pairs(p4_neighbors(spark, sf), "thought_id", "thought_id_a", "thought_id_b")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     calls = table(spark, sf, "call_stat").filter("call_type = 'behavior_extraction'").groupBy("thought_id").agg(F.min("prompt").alias("prompt"))
     memories = table(spark, sf, "global_memory").groupBy("thought_id").agg(F.min("behavior_explanation").alias("answer"))
@@ -91,7 +99,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_clusters, p2_found, p2_terms, p3_found, p3_groups, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
+    found = [p1_found, p1_clusters, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbors, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
