@@ -18,7 +18,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wakeline.llm.text import words
 from wakeline.storage import keep
@@ -59,17 +58,25 @@ def _rows(batch: pa.RecordBatch, hashes: _Words) -> tuple[np.ndarray, np.ndarray
     return np.array([len(r) for r in rows], np.int64), np.array([h for r in rows for h in r], np.uint32)
 
 
-def rarity(df: DataFrame, size: int = 1 << 18) -> np.ndarray:
-    """In how many rows each word hash (modulo size) occurs: what words are ordered by. Bounded by size; any order is correct."""
+def _binary(col: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(values, values per row) of a binary column, copied from its buffers."""
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return np.frombuffer(raw.tobytes(), kind), np.diff(at).astype(np.int64) // width
+
+
+def rarity(rows: DataFrame, size: int = 1 << 18) -> np.ndarray:
+    """In how many rows (toks binary) each word hash (modulo size) occurs: what words are ordered by. Bounded by size; any order is correct."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n = _Words(), np.zeros(size, np.int64)
+        n = np.zeros(size, np.int64)
         for b in batches:
-            n += np.bincount(_rows(b, hashes)[1] % size, minlength=size)
+            n += np.bincount(_binary(b.column(0), np.uint32)[0] % size, minlength=size)
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
 
-    got = df.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("toks").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -82,21 +89,29 @@ def _up(x: np.ndarray) -> np.ndarray:
 class _Block:
     """The rows' ends that hold words of one block, and the pairs their product leaves."""
 
-    def __init__(self, t: float, rep, n, first, toks, sig, most_at_once=3_000_000):
+    def __init__(self, t: float, rep, n, first, size, tok, sig, most_at_once=600_000):
         self.t, self.rep, self.n, self.sig, self.most = t, rep, n, sig, most_at_once
-        self.first = first
-        self.start = np.concatenate([[0], np.cumsum([len(x) // 4 for x in toks])]).astype(np.int64)
-        self.tok = np.frombuffer(b"".join(toks), np.uint32)
+        self.first, self.tok = first, tok
+        self.start = np.concatenate([[0], np.cumsum(size)])
         self.probe = n - _up(t * n)  # words that may be missing towards a smaller row, and towards a larger one
         self.index = n - _up(2 * t / (1 + t) * n)
         self.found: list[np.ndarray] = []
+        self.heavy: list[tuple] = []
+        self.need = _up(t / (1 + t) * np.arange(4096)).astype(np.int16)  # by the sum of two rows' sizes
 
-    def entries(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, position in its whole sorted row) of every word in the ends of `level`."""
-        row = np.repeat(np.arange(len(self.n)), np.diff(self.start))
-        pos = np.arange(len(self.tok)) - self.start[row] + self.first[row]
-        ok = pos < self.probe[row] + level
-        return row[ok], pos[ok]
+    def entries(self, wanted) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word key, row, position in its whole sorted row) of the words in the ends of level 1 for which wanted(word, key) holds, some rows at a time."""
+        out = []
+        for i in range(0, len(self.n), 20_000):
+            j = min(i + 20_000, len(self.n))
+            size = np.diff(self.start[i : j + 1])
+            row = np.repeat(np.arange(i, j), size)
+            pos = np.arange(self.start[i], self.start[j]) - self.start[row] + self.first[row]
+            w = self.tok[self.start[i] : self.start[j]]
+            key = _mix(w)
+            ok = (pos < self.probe[row] + 1) & wanted(w, key)
+            out.append((key[ok], row[ok], pos[ok]))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def word(self, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
         return self.tok[self.start[row] + pos - self.first[row]]
@@ -114,19 +129,25 @@ class _Block:
             return k[ok], r[ok], nxt[ok]
         return k, r, nxt
 
+    def limits(self, row, pos, level: int) -> np.ndarray:
+        """The largest size a smaller partner of each entry may have: the words up to its place, counted ones aside, are not shared."""
+        n = self.n[row]
+        rest = n - pos - 1 + level
+        return np.minimum(np.floor(rest * (1 + self.t) / self.t + 1e-9).astype(np.int64) - n, n)
+
     def work(self, key, row, pos, level: int, direct=(0, 192, 2048)) -> None:
-        """Groups of entries with equal keys: pairs of small groups, longer keys for large ones."""
-        order = np.lexsort((self.rep[row], self.n[row], key))
+        """Groups of entries with equal keys: pairs of small groups, longer keys for large ones. Keys are taken to 48 bits; keys that
+        then coincide only add pairs to discard."""
+        key = key >> np.uint64(16) << np.uint64(16)
+        order = np.argsort(key)
         key, row, pos = key[order], row[order], pos[order]
-        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)[group] if len(key) else group
-        large = (size > direct[level]) & (level < 3) if level < 3 else np.zeros(len(key), bool)
-        self.pairs(group, row, pos, level, ~large)
+        size = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]))
+        large = np.repeat(size > direct[level], size) if level < 3 else np.zeros(len(key), bool)
+        self.pairs(key, row, pos, level, ~large)
         if large.any():
             # pairs that need no more words than the level has: small rows
-            tiny = large & (self.n[row] <= 8)
-            self.pairs(group, row, pos, level, tiny)
+            self.pairs(key, row, pos, level, large & (self.n[row] <= 8))
+            group = np.repeat(np.arange(len(size), dtype=np.int32), size)
             at = np.flatnonzero(large)
             width = np.cumsum((self.probe[row[at]] + level + 1 - pos[at]).clip(0))
             cut_at, g = 0, group[at]
@@ -139,34 +160,52 @@ class _Block:
                 self.work(*self.extend(key[part], row[part], pos[part], level), level + 1)
                 cut_at = end
 
-    def pairs(self, group, row, pos, level: int, use) -> None:
+    def pairs(self, key, row, pos, level: int, use) -> None:
+        """Every entry of a short end with the entries of larger rows that can take a partner of its size; then discards by the
+        words the smaller row can still share, and by the sketches."""
         at = np.flatnonzero(use)
         if len(at) < 2:
             return
-        g, r, p = group[at], row[at], pos[at]
-        n = self.n[r]
-        left = p < self.index[r] + level
-        code = g * (1 << 24) + n
-        end = np.searchsorted(code, g * (1 << 24) + np.floor(n / self.t + 1e-9).astype(np.int64), "right")
-        more = np.where(left, np.maximum(end - np.arange(len(at)) - 1, 0), 0)
+        key, r, p = key[at], row[at].astype(np.int32), pos[at]
+        limit = self.limits(r, p, level)
+        can = np.flatnonzero(limit >= _up(self.t * self.n[r]))
+        code = key[can] | np.clip(limit[can], 0, 0xFFFF).astype(np.uint64)
+        order = np.argsort(code)
+        code, right = code[order], r[can[order]]
+        left = np.flatnonzero(p < self.index[r] + level)
+        size = self.n[r[left]]
+        start = np.searchsorted(code, key[left] | np.minimum(size, 0xFFFF).astype(np.uint64), "left")
+        more = np.searchsorted(code, key[left] | np.uint64(0xFFFF), "right") - start
+        # the largest size of a larger partner: by the words left of this one, and by the sizes alone
+        most = np.minimum(np.floor((size - p[left] - 1 + level) * (1 + self.t) / self.t + 1e-9) - size, np.floor(size / self.t + 1e-9)).astype(np.int32)
+        left = r[left]
+        # by the places of both sides' entries, so that a group's sketches lie together
+        n_l, n_r = self.n[left].astype(np.int32), self.n[right].astype(np.int32)
+        sig_l, sig_r = np.ascontiguousarray(self.sig[left].T), np.ascontiguousarray(self.sig[right].T)
         total = np.cumsum(more)
         i0 = 0
-        while i0 < len(at):
+        while i0 < len(left):
             base = total[i0 - 1] if i0 else 0
-            i1 = max(int(np.searchsorted(total, base + self.most, "right")), i0 + 1)
+            i1 = max(int(np.searchsorted(total, base + self.most // 2, "right")), i0 + 1)
             m = more[i0:i1]
-            a = np.repeat(np.arange(i0, i1), m)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + a + 1
+            a = np.repeat(np.arange(i0, i1, dtype=np.int32), m)
+            b = np.arange(len(a), dtype=np.int32) + np.repeat((start[i0:i1] - (np.cumsum(m) - m)).astype(np.int32), m)
             i0 = i1
-            if not len(a):
-                continue
-            a, b = r[a], r[b]
-            need = _up(self.t / (1 + self.t) * (self.n[a] + self.n[b]))
-            for side in (0, 1):
-                x, y = (a, b) if side == 0 else (b, a)
-                miss = np.bitwise_count(self.sig[x] & ~self.sig[y]).sum(axis=1, dtype=np.int64)
-                ok = self.n[x] - miss >= need
-                a, b, need = a[ok], b[ok], need[ok]
+            ok = np.flatnonzero(n_r[b] <= most[a])
+            a, b = a[ok], b[ok]
+            need = self.need[n_l[a] + n_r[b]] if len(self.need) > 2 * int(self.n.max()) else _up(self.t / (1 + self.t) * (n_l[a] + n_r[b]))
+            room = (n_l[a] - need).astype(np.int16)  # words of the smaller row that may be missing from the larger one
+            miss = np.zeros(len(a), np.int16)
+            for w in range(4):  # a word of the sketches at a time, over what is left
+                miss = miss + np.bitwise_count(sig_l[w][a] & ~sig_r[w][b])
+                if w:
+                    ok = np.flatnonzero(miss <= room)
+                    a, b, need, room, miss = a[ok], b[ok], need[ok], room[ok], miss[ok]
+            miss = sum(np.bitwise_count(sig_r[w][b] & ~sig_l[w][a]).astype(np.int16) for w in range(4))
+            ok = n_r[b] - miss >= need
+            a, b = left[a[ok]], right[b[ok]]
+            ok = a != b
+            a, b = a[ok], b[ok]
             if len(a):
                 self.found.append(np.unique(np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b)))
                 if len(self.found) > 64:
@@ -192,15 +231,11 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
     t = threshold
     spark = df.sparkSession
     src = df.select(F.col(key).cast("long").alias("key"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(texts)]).filter("key is not null")
-    counts = rarity(src)
-    shared = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rank = _Words(), shared.value
+        hashes = _Words()
         for b in batches:
             n, h = _rows(b, hashes)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, rank[h % len(rank)], row))
+            order = np.argsort(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32) | h)
             raw, at = h[order].tobytes(), np.concatenate([[0], np.cumsum(n)]) * 4
             toks = [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
             ok = np.flatnonzero(n)
@@ -219,6 +254,8 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
     reps = keep(coded.groupBy("h").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.min("toks").alias("toks")), "word-classes")
     classes = coded.select("key", "h").distinct().join(reps.select("h", "rep", "n"), "h").select("key", "rep", "n")
 
+    counts = rarity(reps)
+    shared = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
     many = reps.count()
     blocks = max(8, -(-many // rows_per_block))
     heavy = max(10_000, many // 50)  # words of so many rows are split over blocks by their second word
@@ -230,11 +267,11 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
         rank = shared.value
         for b in batches:
             rep, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
-            raw = b.column(2).to_pylist()
-            size = np.array([len(x) // 4 for x in raw])
+            tok, size = _binary(b.column(2), np.uint32)
             start = np.concatenate([[0], np.cumsum(size)])
-            tok = np.frombuffer(b"".join(raw), np.uint32)
             row = np.repeat(np.arange(len(n)), size)
+            tok = tok[np.lexsort((tok, rank[tok % len(rank)], row))]  # rarest first
+            whole = tok.tobytes()
             pos = np.arange(len(tok)) - start[row]
             bits = np.zeros((len(n), 256), bool)
             bits[row, _mix(tok) >> np.uint64(56)] = True
@@ -257,7 +294,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
             lead = order[np.concatenate([[True], np.diff(code[order]) != 0])] if len(order) else order
             r, blk, p = e[0][lead], e[1][lead], e[2][lead]
             stop = np.minimum(probe[r] + 3, size[r])
-            toks = [raw[x][4 * y : 4 * z] for x, y, z in zip(r.tolist(), p.tolist(), stop.tolist(), strict=True)]
+            toks = [whole[x:y] for x, y in zip((4 * (start[r] + p)).tolist(), (4 * (start[r] + stop)).tolist(), strict=True)]
             sigs = [s.tobytes() for s in sig]
             for i in range(0, len(r), 20_000):
                 s = slice(i, i + 20_000)
@@ -267,23 +304,27 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
                 )
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+        parts: list[list[np.ndarray]] = []
+        me = -1
+        for b in batches:
+            if b.num_rows:
+                me = int(b.column(0)[0].as_py())
+                (ta, size), (sa, _) = _binary(b.column(4), np.uint32), _binary(b.column(5), np.uint64)
+                parts.append([b.column(1).to_numpy().copy(), b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy().astype(np.int64), size, ta, sa])
         if not parts:
             return
         rank = shared.value
-        x = pa.Table.from_batches(parts)
-        me = int(x["block"][0].as_py())
-        sig = np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint64).reshape(-1, 4)
-        blk = _Block(t, x["rep"].to_numpy(), x["n"].to_numpy().astype(np.int64), x["first"].to_numpy().astype(np.int64), x["toks"].to_pylist(), sig)
-        del x, parts
-        row, pos = blk.entries(1)
-        w = blk.word(row, pos)
-        big = rank[w % len(rank)] > heavy
-        key = _mix(w)
-        mine = ~big & (own(key) == me)
-        blk.work(key[mine], row[mine], pos[mine], 1)
-        if big.any():
-            blk.work(*blk.extend(key[big], row[big], pos[big], 1, lambda k: own(k) == me), 2)
+        rep, n, first, size, tok, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        blk = _Block(t, rep, n, first, size, tok, sig.reshape(-1, 4))
+        blk.work(*blk.entries(lambda w, k: (rank[w % len(rank)] <= heavy) & (own(k) == me)), 1)
+        big = blk.entries(lambda w, k: rank[w % len(rank)] > heavy)
+        for i in range(0, len(big[0]), 100_000):  # each block makes its own share of the heavy words' pairs
+            part = [x[i : i + 100_000] for x in big]
+            big_keys = blk.extend(*part, 1, lambda k: own(k) == me)
+            blk.heavy.append(big_keys)
+        if blk.heavy:
+            blk.work(*(np.concatenate(x) for x in zip(*blk.heavy, strict=True)), 2)
         a, b = blk.result()
         for i in range(0, len(a), 100_000):
             yield pa.record_batch([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["rep_a", "rep_b"])
