@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def json_body(c: Column) -> Column:
@@ -49,7 +50,7 @@ def first_value(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Balanced matching is no regular language, so this one runs in Python, a batch at a time."""
     for s in texts:

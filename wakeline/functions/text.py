@@ -92,7 +92,7 @@ def cluster_text(mechanism: Column, scope: Column, direction: Column, signature:
 
 def memory_text(explanation: Column, pattern: Column, keywords: Column) -> Column:
     """Text embedded for a memory: explanation, pattern, keywords; nulls skipped."""
-    return F.trim(F.concat_ws(" ", explanation, pattern, F.array_join(keywords, " ")))
+    return F.regexp_replace(F.concat_ws(" ", explanation, pattern, F.array_join(keywords, " ")), f"^{SPACE}+|{SPACE}+$", "")
 
 
 def memory_id(existing: Column | None, precompute_id: Column | None, thought_id: Column | None, row: Column) -> Column:

@@ -228,7 +228,7 @@ def map_to_states(behaviors: DataFrame, states: DataFrame, id_: str, bucket: str
             top = s[at, order[:, 0]]
             second = s[at, order[:, 1]] if s.shape[1] > 1 else np.full(len(s), -np.inf)
             none = ~np.isfinite(second)
-            yield pa.record_batch([x.column(0), pa.array(ids[order[:, 0]]), pa.array(top), pa.array(top - second, mask=none), pa.array(missing)], names=["id", "cluster_id", "similarity", "margin", "fallback"])
+            yield pa.record_batch([x.column(0), pa.array(ids[order[:, 0]].astype(np.int64)), pa.array(top), pa.array(top - second, mask=none), pa.array(missing)], names=["id", "cluster_id", "similarity", "margin", "fallback"])
 
     kind = dict(behaviors.dtypes)[id_]
     rows = behaviors.select(F.col(id_).alias("id"), F.col(bucket).alias("b"), F.col(vector).cast("array<double>").alias("v")).dropna()
