@@ -72,12 +72,13 @@ def nearest(qkey, qraw, qu, tkey, traw, tu, k: int, alike: float) -> tuple[np.nd
     m = len(tkey)
     width = 32
     padded = -(-m // width) * width
-    for i in range(0, len(qkey), 1024):
-        n = len(qkey[i : i + 1024])
+    step = int(min(1024, max(64, 12_000_000 // padded)))  # about 50 MB of products at once
+    for i in range(0, len(qkey), step):
+        n = len(qkey[i : i + step])
         s = np.full((n, padded), -2, np.float32)
-        s[:, :m] = qu[i : i + 1024] @ tu.T
-        at = np.minimum(np.searchsorted(tkey, qkey[i : i + 1024]), m - 1)
-        self_ = np.flatnonzero(tkey[at] == qkey[i : i + 1024])
+        s[:, :m] = qu[i : i + step] @ tu.T
+        at = np.minimum(np.searchsorted(tkey, qkey[i : i + step]), m - 1)
+        self_ = np.flatnonzero(tkey[at] == qkey[i : i + step])
         s[self_, at[self_]] = -2
         take = k + 3
         groups = padded // width
