@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 READ = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "iso8859-5", "iso8859-15", "cp1250")
 #: single-byte encodings that such texts are written in: fixed values
 WRITTEN = ("cp1252", "cp1251", "koi8-r", "cp866", "mac_roman", "cp850", "iso8859-5")
+#: ln of how seldom characters that weren't misread make up a whole UTF-8 sequence
+CHANCE = 2.5
 LOST = "�"
 _TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~"
@@ -132,7 +134,7 @@ def viterbi(bytes_: list[int | None], written: str, model: Model, alphabet: list
                 chunk = bytes_[i : i + size]
                 if size and len(chunk) == size and None not in chunk:
                     try:
-                        options = [(i + size, bytes(chunk).decode(), 0.0)]
+                        options = [(i + size, bytes(chunk).decode(), CHANCE)]
                     except UnicodeDecodeError:
                         pass
             if not options and (b is None or b >= 0xC2):
@@ -145,7 +147,7 @@ def viterbi(bytes_: list[int | None], written: str, model: Model, alphabet: list
                         options.append((i + k, ch, -2.0 * lost))
         for prev, (score, text) in col.items():
             for at, ch, cost in options:
-                if cost and text and text[-1].islower() and ch.isupper():  # a guessed capital inside a word
+                if cost < 0 and text and text[-1].islower() and ch.isupper():  # a guessed capital inside a word
                     cost -= 4.0
                 put(at, ch, score + cost + model.step(prev, ch.lower()), text)
     return sorted(((s + model.step(p, " "), t) for p, (s, t) in columns[n].items()), reverse=True)
@@ -159,6 +161,7 @@ class Decoder:
         self.utf8 = [(c, c.encode()) for c in every]
         self.single = {w: [(c, b"?") for c in every if c in _to_char(w).values()] for w in WRITTEN}
         self.known: dict[str, tuple[str, str, float]] = {}
+        self.near: dict[str, dict[str, str]] = {}
 
     def readings(self, token: str) -> Iterator[tuple[float, str, str]]:
         """(score, text, channel) of each channel that could have made the token."""
@@ -198,8 +201,11 @@ class Decoder:
                 gain += 40.0
             if text != token and gain > max(self.margin, best[2]):
                 best = (channel, text, gain)
+            if text != token and gain > -12 and channel.startswith("utf-8>"):
+                self.near.setdefault(token, {}).setdefault(channel, text)
         if len(self.known) > 300_000:
             self.known.clear()
+            self.near.clear()
         self.known[token] = out = (best[1], best[0], best[2])
         return out
 
@@ -213,9 +219,12 @@ class Decoder:
         weak = {c for c, g in gains.items() if c and not c.startswith("utf-8>") and not c.endswith(">utf-8") and g < 12}
         votes: dict[str, int] = {}
         each = iter(found)
+        lead = max(gains, key=lambda c: (gains[c] if c.startswith("utf-8>") else 0.0, c)) if gains else ""
 
         def swap(m: re.Match) -> str:
             better, channel, _ = next(each)
+            if not channel and gains.get(lead, 0) >= 8 and lead in self.near.get(m[0], ()):  # rare words go the way of their text
+                better, channel = self.near[m[0]][lead], lead
             if channel in weak or not channel and LOST not in m[0]:
                 return m[0]
             votes[channel or "lost"] = votes.get(channel or "lost", 0) + 1

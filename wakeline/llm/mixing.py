@@ -72,8 +72,9 @@ def water_fill(have: dict[str, int], share: dict[str, float], most: dict[str, in
 
 
 def largest_exact_total(have: dict[str, int], share: dict[str, float], most: dict[str, int]) -> float:
-    """The largest total at which every source reaches its share within its cap."""
-    return min((most[s] * have.get(s, 0) / share[s] for s in share if share[s] > 0), default=0.0)
+    """The largest total at which every source that has any text reaches its share (among these) within its cap."""
+    some = {s: share[s] for s in share if share[s] > 0 and have.get(s, 0) > 0}
+    return min((most[s] * have[s] * sum(some.values()) / w for s, w in some.items()), default=0.0)
 
 
 def mix(
