@@ -67,7 +67,7 @@ def _accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_patterns(spark: SparkSession, sf: str) -> DataFrame:
     got = sequences.frequent_sequences(_accepted(spark, sf), "user_id", "window_index", "state_id")
-    return got.select(F.array_join("pattern", ">").alias("pattern"), F.size("pattern").alias("states"), F.col("entities").alias("users"))
+    return got.select(F.array_join("pattern", ">").alias("pattern"), F.size("pattern").cast("bigint").alias("states"), F.col("entities").alias("users"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,5 +103,41 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+_USABLE = """g AS (SELECT DISTINCT ON (thought_id) thought_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM global_memory WHERE thought_id IS NOT NULL
+  AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM g),
+s AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) / (a.n * b.n) AS c FROM u a JOIN u b ON a.id <> b.id WHERE list_inner_product(a.v, b.v) >= 0.85 * a.n * b.n)"""
+
+_TERMS = r"""g AS (SELECT thought_id, unnest(keywords) AS k FROM global_memory WHERE thought_id IS NOT NULL),
+n AS (SELECT thought_id, trim(regexp_replace(translate(lower(k), '_-', '  '), '[\s\pZ\x{85}\x{1C}-\x{1F}\x{0B}]+', ' ', 'g')) AS term FROM g),
+t AS (SELECT DISTINCT thought_id, term FROM n WHERE term <> ''), c AS (SELECT term, count(*) AS records FROM t GROUP BY 1),
+b AS (SELECT term, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.05 * (SELECT count(DISTINCT thought_id) FROM t) THEN 'common' ELSE 'useful' END AS band FROM c)"""
+
+_SEQUENCES = """q AS (SELECT user_id, window_index, max(state_id) AS s FROM assignments WHERE assignment_accepted AND user_id IS NOT NULL AND window_index IS NOT NULL AND state_id IS NOT NULL GROUP BY ALL),
+p AS (SELECT user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY window_index) AS i FROM q),
+p2 AS (SELECT DISTINCT a.user_id, a.s || '>' || b.s AS pattern, b.i FROM p a JOIN p b ON b.user_id = a.user_id AND b.i - a.i BETWEEN 1 AND 3),
+p3 AS (SELECT DISTINCT a.user_id, a.pattern || '>' || b.s AS pattern, b.i FROM p2 a JOIN p b ON b.user_id = a.user_id AND b.i - a.i BETWEEN 1 AND 3),
+p4 AS (SELECT DISTINCT a.user_id, a.pattern || '>' || b.s AS pattern, b.i FROM p3 a JOIN p b ON b.user_id = a.user_id AND b.i - a.i BETWEEN 1 AND 3),
+f AS (SELECT pattern, count(DISTINCT user_id) AS users FROM (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4) GROUP BY 1),
+k AS (SELECT * FROM f WHERE users >= 3 AND users >= 0.02 * (SELECT count(DISTINCT user_id) FROM p))"""
+
+
+def _grams(rows: str) -> str:
+    return f"SELECT id, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT id, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({rows})) WHERE len(w) >= 13)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can tell over whole tables. p1 holds where linked memories are all alike, as they are in these tables; the rest is
+    tested against plain versions on fixtures."""
+    return {
+        "p1_found": f"WITH {_USABLE} SELECT least(a, min(b)) AS cluster_key, a AS thought_id FROM s GROUP BY a",
+        "p2_found": f"WITH {_TERMS} SELECT term, band FROM b WHERE band <> 'useful'",
+        "p3_found": r"""WITH g AS (SELECT DISTINCT ON (thought_id) thought_id AS id, concat_ws(' ', behavior_explanation, pattern_description) AS t FROM global_memory WHERE thought_id IS NOT NULL),
+w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM g), n AS (SELECT id, count(*) AS n FROM w GROUP BY 1),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+SELECT a AS thought_id_a, b AS thought_id_b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6 * (x.n + y.n - k)""",
+        "p4_found": f"WITH {_USABLE}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM s) SELECT DISTINCT least(a, b) AS thought_id_a, greatest(a, b) AS thought_id_b FROM r WHERE r <= 5",
+        "p6_found": f"WITH {_SEQUENCES} SELECT pattern FROM k",
+        "p6_patterns": f"WITH {_SEQUENCES} SELECT pattern, len(string_split(pattern, '>'))::BIGINT AS states, users FROM k",
+        "p7_found": f"WITH d AS ({_grams('SELECT doc_id AS id, text AS t FROM documents')}), e AS ({_grams('SELECT eval_id AS id, passage AS t FROM eval_passages')}) SELECT DISTINCT d.id AS doc_id, e.id AS eval_id FROM d JOIN e USING (gram)",
+    }
