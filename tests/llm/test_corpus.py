@@ -201,7 +201,8 @@ def test_near_duplicates_against_all_pairs(spark, t):
     assert near_duplicates.similar_classes(d.limit(0), "id", ["a", "b"])[1].count() == 0
 
 
-def test_near_duplicate_blocks_lose_nothing_in_crowded_groups():
+@pytest.mark.parametrize("direct", [(0, 4, 8, 8, 8), (0, 2, 2, 2, 2), near_duplicates.DIRECT])
+def test_near_duplicate_blocks_lose_nothing_in_crowded_groups(direct):
     """Groups over every limit of direct multiplication still give all pairs."""
     import numpy as np
 
@@ -215,15 +216,7 @@ def test_near_duplicate_blocks_lose_nothing_in_crowded_groups():
         bits[i, near_duplicates._mix(x) >> np.uint64(56)] = True
     sig = np.packbits(bits, axis=1).view(np.uint64)
     b = near_duplicates._Block(0.6, np.arange(len(rows)), n, np.zeros(len(rows), np.int64), n, np.concatenate(rows), sig)
-    import functools
-
-    b.work = functools.partial(b.work, direct=(0, 4, 8))
-    orig = near_duplicates._Block.work
-    near_duplicates._Block.work = functools.partialmethod(orig, direct=(0, 4, 8))
-    try:
-        near_duplicates._Block.work(b, *b.entries(lambda w, k: np.ones(len(w), bool)), 1)
-    finally:
-        near_duplicates._Block.work = orig
+    b.work(*b.entries(lambda w, k: np.ones(len(w), bool)), 1, direct)
     got = set(zip(*(x.tolist() for x in b.result()), strict=True))
     want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(np.intersect1d(rows[i], rows[j])) >= 0.6 * len(np.union1d(rows[i], rows[j])) - 1e-9}
     assert want and want <= got

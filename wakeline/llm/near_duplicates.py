@@ -3,8 +3,8 @@
 Rows are sorted rarest word first. A pair of rows with Jaccard similarity of t or more shares so many words that it
 shares one in the rare ends of both rows, two in ends one word longer, three in ends two longer; so the product is
 taken over the ends alone, block by block of words. Within a block, a word held by few rows is multiplied out at
-once; one held by many is first narrowed to rows that share a second, then a third word (counts of two and three
-accumulate before any pair is made). Pairs that the sizes or the words missing from 256-bit row sketches rule out are
+once; one held by many is first narrowed to rows that share a second, third ... word (counts accumulate before any pair
+is made), as words that come together, such as those of a title, tell no more than one. Pairs that the sizes or the words missing from 256-bit row sketches rule out are
 discarded; what is left is counted over the whole rows.
 """
 
@@ -23,6 +23,9 @@ from wakeline.llm.text import words
 from wakeline.storage import keep
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: so many words are shared at most before pairs are made, and from groups of which size on another one is asked for
+LEVELS = 5
+DIRECT = (0, 300, 2000, 2000, 4000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,18 +138,18 @@ class _Block:
         rest = n - pos - 1 + level
         return np.minimum(np.floor(rest * (1 + self.t) / self.t + 1e-9).astype(np.int64) - n, n)
 
-    def work(self, key, row, pos, level: int, direct=(0, 192, 2048)) -> None:
+    def work(self, key, row, pos, level: int, direct=DIRECT) -> None:
         """Groups of entries with equal keys: pairs of small groups, longer keys for large ones. Keys are taken to 48 bits; keys that
         then coincide only add pairs to discard."""
         key = key >> np.uint64(16) << np.uint64(16)
         order = np.argsort(key)
         key, row, pos = key[order], row[order], pos[order]
         size = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]))
-        large = np.repeat(size > direct[level], size) if level < 3 else np.zeros(len(key), bool)
+        large = np.repeat(size > direct[level], size) if level < LEVELS else np.zeros(len(key), bool)
         self.pairs(key, row, pos, level, ~large)
         if large.any():
             # pairs that need no more words than the level has: small rows
-            self.pairs(key, row, pos, level, large & (self.n[row] <= 8))
+            self.pairs(key, row, pos, level, large & (self.n[row] <= level / self.t + 1e-9))
             group = np.repeat(np.arange(len(size), dtype=np.int32), size)
             at = np.flatnonzero(large)
             width = np.cumsum((self.probe[row[at]] + level + 1 - pos[at]).clip(0))
@@ -157,7 +160,7 @@ class _Block:
                 end = max(end, cut_at + 1)
                 end = int(np.searchsorted(g, g[min(end, len(at)) - 1], "right"))  # whole groups
                 part = at[cut_at:end]
-                self.work(*self.extend(key[part], row[part], pos[part], level), level + 1)
+                self.work(*self.extend(key[part], row[part], pos[part], level), level + 1, direct)
                 cut_at = end
 
     def pairs(self, key, row, pos, level: int, use) -> None:
@@ -293,7 +296,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
             order = np.lexsort((e[2], code))
             lead = order[np.concatenate([[True], np.diff(code[order]) != 0])] if len(order) else order
             r, blk, p = e[0][lead], e[1][lead], e[2][lead]
-            stop = np.minimum(probe[r] + 3, size[r])
+            stop = np.minimum(probe[r] + LEVELS, size[r])
             toks = [whole[x:y] for x, y in zip((4 * (start[r] + p)).tolist(), (4 * (start[r] + stop)).tolist(), strict=True)]
             sigs = [s.tobytes() for s in sig]
             for i in range(0, len(r), 20_000):
