@@ -271,3 +271,34 @@ def test_models_and_providers(spark):
     assert {r["answer"] for r in providers.answered_by(d, lambda ts: 1 / 0).collect()} == {""}
     s = spark.createDataFrame([("u", p, i, "train") for p, i in enumerate("aab")], "user_id string, pos int, item_id string, split string")
     assert {(r["item_id"], r["next_item"]): r["score"] for r in baselines.markov_scores(s).collect()} == {("a", "a"): 0.5, ("a", "b"): 0.5}
+
+
+def test_running_totals(spark):
+    from wakeline.operators.order import ordinals, running_total
+
+    d = spark.createDataFrame([(i, i % 3) for i in range(50)], "i int, v int").repartition(7)
+    got = {r["i"]: r["t"] for r in running_total(d, ["i"], F.col("v"), "t").collect()}
+    assert got == {i: sum(k % 3 for k in range(i)) for i in range(50)}
+    assert {r["i"]: r["ordinal"] for r in ordinals(d, ["i"]).collect()} == {i: i for i in range(50)}
+
+
+def test_pipelines_end_to_end(spark, tmp_path):
+    from wakeline.plans import pipelines, tables
+    from wakeline.plans.config import PrepConfig, TreeConfig
+    from wakeline.sources import writers
+
+    sf = "/root/testdata/sf0.001"
+    p = pipelines.prepare(tables.read(spark, sf, "ratings"), tables.read(spark, sf, "items"), PrepConfig(max_items=200))
+    assert p["violations"].count() == 0 and p["candidates"].count() == p["sequences"].select("user_id").distinct().count()
+    assert pipelines.extract(p["sequences"], p["items"]).filter("mechanism is null").count() == 0
+    records = tables.read(spark, sf, "local_memory")
+    vec = records.select(F.concat(F.lit("M"), "precompute_id").alias("memory_id"), F.array(*[((F.xxhash64("precompute_id", F.lit(k)) % 1000) / 1000).cast("float") for k in range(8)]).alias("embedding")).distinct()
+    usable = memories.usable_memories(memories.one_record_per_id(records)).filter("invalid_reason is null").select("memory_id")
+    t = pipelines.build_tree(records, vec.join(usable, "memory_id"), TreeConfig(clusters=20, rounds=2, restarts=1, min_similarity=0.2, min_margin=0.0, max_order=2))
+    writers.tables(t, str(tmp_path / "tree"))
+    assert contexts.orphans(spark.read.parquet(str(tmp_path / "tree/nodes"))).count() == 0
+    with pytest.raises(ValueError, match="number"):
+        pipelines.build_tree(records, vec.limit(3))
+    r = p["candidates"].select("user_id", F.lit("native").alias("mode"), F.reverse("candidates").alias("predicted"))
+    e = pipelines.evaluate(r, p["candidates"])
+    assert e["metrics"].filter("metric = 'Hit@20'").first()["value"] == 1.0 and e["strict_metrics"].count() == e["metrics"].count()

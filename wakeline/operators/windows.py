@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.functions.text import clean_text, extraction_value
+from wakeline.operators.order import running_total
 
 
 def chunk_windows(sequences: DataFrame, info: DataFrame, size: int = 3, last: int = 30, emit_at_end_without_metadata: bool = False) -> DataFrame:
@@ -37,9 +38,9 @@ def chunk_windows(sequences: DataFrame, info: DataFrame, size: int = 3, last: in
 
 def number_windows(windows: DataFrame, users: DataFrame) -> DataFrame:
     """windows with user_order and a dense precompute_id by (user_order, window_index), for the users listed (user_id, user_order).
-    Offsets come from each user's count, so no row passes through one task: only the users' counts are cumulated."""
+    Offsets come from each user's count; the counts are cumulated range by range."""
     n = windows.groupBy("user_id").agg(F.count("*").alias("n")).join(users, "user_id")
-    base = n.withColumn("base", F.sum("n").over(Window.orderBy("user_order")) - F.col("n")).select("user_id", "user_order", "base")
+    base = running_total(n, ["user_order"], F.col("n"), "base").select("user_id", "user_order", "base")
     return windows.join(base, "user_id").withColumn("precompute_id", F.col("base") + F.col("window_index")).drop("base")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import text
-from wakeline.operators import baselines, contexts, memories, pool, prep, providers, ranking, reports, segments, states, vectors, windows
+from wakeline.operators import baselines, contexts, memories, order, pool, prep, providers, ranking, reports, segments, states, vectors, windows
 from wakeline.plans import sql as S
 from wakeline.plans import tables as T
 from wakeline.storage import keep
@@ -129,10 +129,8 @@ def chunk_windows(spark, sf):
 @query(f"""WITH {_CHUNKS}, us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_order FROM (SELECT DISTINCT user_id FROM seqs))
 SELECT user_id, window_index::BIGINT AS window_index, user_order::BIGINT AS user_order, (row_number() OVER (ORDER BY user_order, window_index) - 1)::BIGINT AS precompute_id FROM chunk JOIN us USING (user_id)""")
 def numbered_windows(spark, sf):
-    from pyspark.sql.window import Window
-
     seq = T.sequences(spark, sf)
-    users = seq.select("user_id").distinct().withColumn("user_order", F.row_number().over(Window.orderBy("user_id")) - 1)
+    users = order.ordinals(seq.select("user_id").distinct(), ["user_id"], "user_order")
     w = windows.number_windows(windows.chunk_windows(seq, T.info(spark, sf)).select("user_id", "window_index"), users)
     return w.select("user_id", *_big("window_index", "user_order", "precompute_id"))
 

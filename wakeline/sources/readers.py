@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.operators.order import ordinals
 from wakeline.storage import new_path
 
 RATINGS = "userId BIGINT, movieId BIGINT, rating DOUBLE, timestamp BIGINT"
@@ -116,11 +117,9 @@ def vectors(spark: SparkSession, path: str, expected: int | None = None, ids: li
 
 def selected_users(sequences: DataFrame, listed: DataFrame | None = None, available: DataFrame | None = None, start: int = 0, limit: int | None = None) -> DataFrame:
     """(user_id, ordinal): the listed users in their order, else all by first appearance (column ordinal of sequences), of those available; then a stretch."""
-    from pyspark.sql.window import Window
-
     every = sequences.groupBy("user_id").agg(F.min("ordinal").alias("ordinal"))
     d = every if listed is None else listed.join(every.select("user_id"), "user_id", "left_semi")
     d = d if available is None else d.join(available.select("user_id"), "user_id", "left_semi")
-    d = d.withColumn("r", F.row_number().over(Window.orderBy("ordinal", "user_id")) - 1)
+    d = ordinals(d, ["ordinal", "user_id"], "r")
     d = d.filter(F.col("r") >= start)
     return (d.filter(F.col("r") < start + limit) if limit is not None else d).select("user_id", F.col("r").alias("ordinal"))
