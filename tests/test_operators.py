@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wakeline.functions import jsons, text
-from wakeline.operators import baselines, contexts, items, memories, pool, prep, providers, ranking, segments, states, vectors, windows
+from wakeline.operators import baselines, contexts, items, memories, pool, prep, providers, ranking, reports, segments, states, vectors, windows
 
 RATINGS = "user_id bigint, item_id bigint, rating double, ts bigint, extra string"
 
@@ -302,3 +302,33 @@ def test_pipelines_end_to_end(spark, tmp_path):
     r = p["candidates"].select("user_id", F.lit("native").alias("mode"), F.reverse("candidates").alias("predicted"))
     e = pipelines.evaluate(r, p["candidates"])
     assert e["metrics"].filter("metric = 'Hit@20'").first()["value"] == 1.0 and e["strict_metrics"].count() == e["metrics"].count()
+
+
+def test_fold_resumes_and_links(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.05]), (4, [0.9, 0.5])], "thought_id bigint, embedding array<float>")
+    whole = {r["thought_id"]: (r["zone"], r["stored"], r["updated"]) for r in pool.fold(d).collect()}
+    start = d.filter("thought_id <= 2").withColumn("evolution_count", F.lit(0))
+    rest = {r["thought_id"]: (r["zone"], r["stored"], r["updated"]) for r in pool.fold(d, resume=start).collect()}
+    assert rest == {k: v for k, v in whole.items() if k > 2}
+    assert all(not r["links"] for r in pool.fold(d, linker=lambda i, ids: [99]).collect())
+    assert all(not r["links"] for r in pool.fold(d, linker=lambda i, ids: 1 / 0).collect())
+
+
+def test_small_helpers(spark):
+    assert reports.incompatible({"a": 1, "b": 2}, {"a": 1, "b": 3}, ("a", "b")) == ["b: 2 and 3"]
+    p = spark.createDataFrame([("u", 5, 1), ("v", 1, 9), ("w", 3, 2)], "user_id string, rank int, base_rank int")
+    got = {m: [r["user_id"] for r in reports.debug_rows(p, m, 2).collect()] for m in ("first", "degraded", "improved", "largest_drop")}
+    assert got == {"first": ["u", "v"], "degraded": ["u", "w"], "improved": ["v"], "largest_drop": ["u", "w"]}
+    assert reports.debug_rows(p, "random", 2).count() == 2
+    c = spark.createDataFrame([("u", ["a"])], "user_id string, candidates array<string>")
+    assert ranking.candidate_cache(c, spark.createDataFrame([("u", ["a"]), ("v", ["b"])], c.schema)).count() == 2
+    with pytest.raises(ValueError, match="differ"):
+        ranking.candidate_cache(c, spark.createDataFrame([("u", ["z"])], c.schema))
+    e = contexts.evidence_sample(spark.createDataFrame([(["a"], "b", i) for i in range(9)], "ctx array<string>, target string, i int"), 4, "i")
+    assert e.count() == 4
+    with pytest.raises(ValueError, match="ROOT"):
+        contexts.checked_nodes(spark.createDataFrame([(["a"],)], "ctx array<string>"))
+    b = memories.bounded_behavior(spark.createDataFrame([(7.0, [" x ", ""]), (None, None), (float("nan"), ["a"])], "confidence double, semantic_focus array<string>"))
+    assert [(r["confidence"], r["semantic_focus"]) for r in b.collect()] == [(1.0, ["x"]), (0.0, []), (0.0, ["a"])]
+    x = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [0.0, 1.0]), (1, [0.1, 1.0])], "label int, embedding array<float>")
+    assert vectors.silhouette(x) > 0.9

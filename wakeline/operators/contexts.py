@@ -141,3 +141,26 @@ def query_tree(nodes: DataFrame, recent: DataFrame, max_order: int = 3, top: int
     got = got.withColumn("stop", F.when(F.size("matched") == F.col("n"), "history_exhausted").otherwise("missing_reverse_edge"))
     best = next_states(nodes.filter("active"), top).groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("rank", "state_id", F.round("probability", 6).alias("probability")))).alias("next")).withColumnRenamed("ctx", "context")
     return got.join(best, "context", "left").select("user_id", "matched", "context", "stop", "next")
+
+
+def checked_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes, after the invariants of a stored tree: ROOT is there and no context lacks its suffix parent; else raises."""
+    if not nodes.filter(F.size("ctx") == 0).limit(1).count():
+        raise ValueError("no ROOT")
+    if orphans(nodes).limit(1).count():
+        raise ValueError("contexts without their suffix parent")
+    return nodes
+
+
+def evidence_sample(obs: DataFrame, most: int, *id_columns: str) -> DataFrame:
+    """(ctx, target, ...): up to `most` observations of each context and target, those of the smallest hash: a sample that doesn't depend on
+    order or partitioning. A top-n window, so ROOT isn't gathered."""
+    w = Window.partitionBy("ctx", "target").orderBy(F.xxhash64(*id_columns), *id_columns)
+    return obs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
+
+
+def rank_evidence(queried: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(user_id, rank, state_id, probability, mechanism, scope, direction, support): what a ranker is told of each predicted state."""
+    rows = queried.select("user_id", F.explode("next").alias("x")).select("user_id", "x.rank", "x.state_id", F.round("x.probability", 6).alias("probability"))
+    p = profiles.select("state_id", "mechanism", "scope", "direction", F.col("users").alias("support"))
+    return rows.join(p, "state_id", "left").select("user_id", "rank", "state_id", "probability", "mechanism", "scope", "direction", "support")

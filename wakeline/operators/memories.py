@@ -147,3 +147,10 @@ def fallback_record(records: DataFrame) -> DataFrame:
 def pending(tasks: DataFrame, written: DataFrame, keys: list[str], same: list[str] | None = None) -> DataFrame:
     """Tasks not yet written under the same versions (columns `same`): an anti join, for resuming."""
     return tasks.join(written.select(*keys, *(same or [])).distinct(), [*keys, *(same or [])], "left_anti")
+
+
+def bounded_behavior(records: DataFrame, most_focus: int = 8) -> DataFrame:
+    """Records with the confidence in [0, 1] (0 where it is none) and at most most_focus clean focus terms."""
+    focus = F.filter(F.transform(F.coalesce("semantic_focus", F.array().cast("array<string>")), clean_text), lambda s: s != "")
+    c = F.coalesce(F.expr("try_cast(confidence as double)"), F.lit(0.0))
+    return records.withColumns({"confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.isnan(c), 0.0).otherwise(c))), "semantic_focus": F.slice(focus, 1, most_focus)})

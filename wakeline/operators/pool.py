@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,28 +60,40 @@ def strategy_zones(similar: DataFrame, pool_size: int, config: PoolConfig | None
 _FOLD = "shard string, thought_id bigint, zone string, stored boolean, links array<bigint>, updated array<bigint>"
 
 
-def fold(memories: DataFrame, config: PoolConfig | None = None, id_: str = "thought_id", vector: str = "embedding", shard: str | None = None) -> DataFrame:
+def fold(memories: DataFrame, config: PoolConfig | None = None, id_: str = "thought_id", vector: str = "embedding", shard: str | None = None, resume: DataFrame | None = None, linker: Callable[[int, list[int]], list[int]] | None = None) -> DataFrame:
     """One row a memory, in order of ids within its shard: the zone it met, whether it was stored, the links it got, the memories it updated.
 
     The pool grows as it is replayed, so a shard is one task by nature: without `shard` the fold is exact and single; with more shards
     (a column) each keeps its own pool, which is another result, named as such. Vectors that are null or of another
-    length than the first are left out. Updating counts against max_evolutions; a memory all of whose links are used up is stored after all.
+    length than the first are left out. resume: a pool to start from (id, vector, evolution_count and the shard column, if
+    there is one); memories up to its last id are taken as done. linker chooses among the eligible ids (a model's
+    place); without, all are linked; ids it makes up are dropped, and if it fails nothing is linked and a store stands. Updating counts against max_evolutions; a memory all of whose links are used up is stored after all.
     """
     c = config or PoolConfig()
     named = F.coalesce(F.col(shard).cast("string"), F.lit("")) if shard else F.lit("all")
-    rows = memories.select(named.alias("shard"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    rows = memories.select(named.alias("shard"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(-1).alias("old")).dropna()
+    if resume is not None:
+        last = resume.agg(F.max(id_).alias("last"))  # one row
+        rows = rows.crossJoin(last).filter(F.col("id") > F.coalesce("last", F.lit(-(2**62)))).drop("last")
+        rows = rows.unionByName(resume.select(named.alias("shard"), F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce("evolution_count", F.lit(0)).alias("old")).dropna())
 
     def replay(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        ids, vs = t["id"].to_pylist(), t["v"].to_pylist()
+        ids, vs, olds = t["id"].to_pylist(), t["v"].to_pylist(), t["old"].to_pylist()
         dims = len(vs[0])
         pool = np.zeros((len(ids), dims))
         own, evolutions, out, n = [], [], [], 0
-        for i, v in zip(ids, vs, strict=True):
+        for i, v, old in zip(ids, vs, olds, strict=True):
             if len(v) != dims:
                 continue
             x = np.asarray(v)
             x = x / max(np.linalg.norm(x), 1e-12)
+            if old >= 0:
+                pool[n] = x
+                own.append(i)
+                evolutions.append(old)
+                n += 1
+                continue
             share = 0.05 * min(n / 1000, 1)
             low, high = (c.low + share, c.high - share) if c.low + share < c.high - share else (c.low, c.high)
             sims = pool[:n] @ x
@@ -104,6 +117,12 @@ def fold(memories: DataFrame, config: PoolConfig | None = None, id_: str = "thou
             links, updated = [], []
             if c.evolving and "update" in kind:
                 links = [int(k) for k in near if sims[k] >= low]
+                if linker is not None:
+                    try:
+                        chosen = set(linker(i, [own[k] for k in links]))
+                    except Exception:  # noqa: BLE001
+                        chosen = set()
+                    links = [k for k in links if own[k] in chosen]
                 updated = [k for k in links if evolutions[k] < c.max_evolutions]
                 for k in updated:
                     evolutions[k] += 1

@@ -122,3 +122,10 @@ def metric_gains(metrics: DataFrame, mode: str, against: str) -> DataFrame:
     b = metrics.filter(F.col("mode") == against).select("metric", F.col("value").alias("y"))
     sign = F.when(F.col("metric").isin("MeanRank", "MedianRank"), -1.0).otherwise(1.0)
     return a.join(b, "metric").select("metric", (sign * (F.col("x") - F.col("y"))).alias("gain"))
+
+
+def candidate_cache(cached: DataFrame, current: DataFrame) -> DataFrame:
+    """The cache with lists of users it lacks; a cached list that isn't, as a multiset, the current one raises."""
+    if same_candidates(cached, current).limit(1).count():
+        raise ValueError("cached candidates differ from the current ones")
+    return cached.unionByName(current.join(cached.select("user_id"), "user_id", "left_anti").select(*cached.columns))

@@ -60,3 +60,29 @@ def mapping_diagnostics(mapped: DataFrame, queried: DataFrame) -> DataFrame:
 
 def contexts_by_order(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.size("ctx").alias("context_order")).agg(F.count("*").alias("contexts"), F.count_if("active").alias("active"))
+
+
+def protocol_summary(histories: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: users, shortest and longest training history, and users whose target also occurs in their own history."""
+    h = histories.select("user_id", F.size("train").alias("n"), "train")
+    leak = candidates.select("user_id", "target").join(h, "user_id").filter(F.array_contains("train", F.col("target"))).agg(F.count("*").alias("targets_in_history"))
+    return h.agg(F.count("*").alias("users"), F.min("n").alias("min_history"), F.max("n").alias("max_history")).crossJoin(leak)  # one row each
+
+
+def debug_rows(pairs: DataFrame, mode: str, most: int, seed: int = 42) -> DataFrame:
+    """Users to look at, from (user_id, rank, base_rank): first, random (by hash), degraded, improved, largest_drop. A limit, as that is what is asked for."""
+    d = pairs.withColumn("drop", F.col("rank") - F.col("base_rank"))
+    order = {
+        "first": ["user_id"],
+        "random": [F.xxhash64(F.lit(seed), "user_id"), "user_id"],
+        "degraded": ["user_id"],
+        "improved": ["user_id"],
+        "largest_drop": [F.desc("drop"), "user_id"],
+    }[mode]
+    d = d.filter("drop > 0") if mode in ("degraded", "largest_drop") else d.filter("drop < 0") if mode == "improved" else d
+    return d.orderBy(*order).limit(most)
+
+
+def incompatible(stored: dict, now: dict, keys: tuple[str, ...]) -> list[str]:
+    """Settings under which an output was written that differ from those of now; a run that resumes raises on any."""
+    return [f"{k}: {stored.get(k)!r} and {now.get(k)!r}" for k in keys if stored.get(k) != now.get(k)]

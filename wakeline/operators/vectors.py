@@ -270,3 +270,12 @@ def tfidf(df: DataFrame, id_: str, text: str, stop_words: list[str], max_feature
     w = tf.join(F.broadcast(vocabulary), "term").crossJoin(n).withColumn("raw", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))  # max_features rows; one row
     norm = w.groupBy(id_).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return w.join(norm, id_).select(id_, "term", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+def silhouette(df: DataFrame, vector: str = "embedding", cluster: str = "label") -> float:
+    """Mean silhouette by cosine, from per-cluster sums (no pairs are made)."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(cluster).cast("double").alias("prediction")).dropna()
+    return ClusteringEvaluator(metricName="silhouette", distanceMeasure="cosine").evaluate(rows)

@@ -713,3 +713,37 @@ FROM x JOIN info ON info.item_id = x.id GROUP BY ALL""")
 def extraction_prompts(spark, sf):
     w = windows.chunk_windows(T.sequences(spark, sf), T.info(spark, sf))
     return w.select("user_id", *_big("window_index"), providers.extraction_prompt(F.col("interaction_sequence")).alias("prompt"))
+
+
+@query(f"""WITH {S.HISTORIES}, h AS (SELECT user_id, count(*) AS n FROM seqs WHERE split = 'train' GROUP BY 1) SELECT count(*) AS users, min(n)::BIGINT AS min_history, max(n)::BIGINT AS max_history, 0::BIGINT AS targets_in_history FROM h""")
+def protocol_summary(spark, sf):
+    s = T.sequences(spark, sf).withColumn("item_id", F.col("item_id").cast("string"))
+    h = s.filter("split = 'train'").groupBy("user_id").agg(F.collect_list("item_id").alias("train"))
+    return reports.protocol_summary(h, s.filter("split = 'test'").select("user_id", F.col("item_id").alias("target"))).select(*_big("users", "min_history", "max_history", "targets_in_history"))
+
+
+@query(f"""{_RANKS}, p AS (SELECT a.user_id, a.rank, b.rank AS base_rank FROM ranks a JOIN ranks b USING (user_id) WHERE a.mode = 'popularity' AND b.mode = 'oldest')
+SELECT user_id, rank::BIGINT AS rank, base_rank::BIGINT AS base_rank, (rank - base_rank)::BIGINT AS drop FROM p WHERE rank > base_rank ORDER BY rank - base_rank DESC, user_id LIMIT 20""")
+def largest_drops(spark, sf):
+    r = keep(_ranks(spark, sf), "ranks")
+    p = r.filter("mode = 'popularity'").select("user_id", "rank").join(r.filter("mode = 'oldest'").select("user_id", F.col("rank").alias("base_rank")), "user_id")
+    return reports.debug_rows(p, "largest_drop", 20).select("user_id", *_big("rank", "base_rank", "drop"))
+
+
+@query(f"""WITH rec AS (SELECT DISTINCT ON (precompute_id) * FROM local_memory WHERE precompute_id IS NOT NULL), f AS (SELECT *, list_filter(list_transform(coalesce(semantic_focus, []), lambda x: {S.clean("x")}), lambda y: y <> '')[1:8] AS focus FROM rec)
+SELECT precompute_id, CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0.0 ELSE greatest(0.0, least(1.0, confidence)) END AS confidence, coalesce(array_to_string(focus, '|'), '') AS focus FROM f""")
+def bounded_behaviors(spark, sf):
+    return memories.bounded_behavior(T.records(spark, sf)).select("precompute_id", "confidence", F.array_join("semantic_focus", "|").alias("focus"))
+
+
+@query()
+def mapping_diagnostics(spark, sf):
+    mapped = vectors.map_to_states(_vectors(spark, sf), _states(spark, sf).filter("label < 8"), "vec_id", "label", "embedding", min_similarity=0.15)
+    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf), 3))
+    return reports.mapping_diagnostics(mapped, q)
+
+
+@query()
+def tree_rank_evidence(spark, sf):
+    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf), 3))
+    return contexts.rank_evidence(q, states.state_profiles(T.state_members(spark, sf)))
