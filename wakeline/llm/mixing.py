@@ -117,9 +117,10 @@ def mix(
     # where the seeded order is cut: first the range of 4096 that holds the cut, then the document within it
     shift = 63 - 12
     hist = one.groupBy("source", F.shiftrightunsigned("u", shift).alias("r")).agg(F.sum("tokens").alias("t")).orderBy("source", "r").collect()
+    whole = {s: min(int(epochs[s] + 1e-9), most[s]) for s in want}
     below: dict[str, tuple[int, float]] = {}
     for s in want:
-        goal, run = (epochs[s] % 1) * have.get(s, 0), 0
+        goal, run = (epochs[s] - whole[s]) * have.get(s, 0), 0
         below[s] = (-1, 0.0)
         if goal > 0:
             for h in (h for h in hist if h["source"] == s):
@@ -127,7 +128,7 @@ def mix(
                     below[s] = (h["r"], goal - run)
                     break
                 run += h["t"]
-    plan = spark.createDataFrame([(s, int(epochs[s] + 1e-12), *below[s]) for s in want], "source string, whole bigint, cut bigint, rest double")
+    plan = spark.createDataFrame([(s, whole[s], *below[s]) for s in want], "source string, whole bigint, cut bigint, rest double")
     placed = one.join(F.broadcast(plan), "source").withColumn("r", F.shiftrightunsigned("u", shift))  # plan: a row per target source
     order = Window.partitionBy("source").orderBy("u", "doc_id")
     edge = placed.filter(F.col("r") == F.col("cut")).withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
