@@ -191,19 +191,19 @@ class _Block:
             base = total[i0 - 1] if i0 else 0
             i1 = max(int(np.searchsorted(total, base + self.most // 2, "right")), i0 + 1)
             m = more[i0:i1]
-            a = np.repeat(np.arange(i0, i1, dtype=np.int32), m)
-            b = np.arange(len(a), dtype=np.int32) + np.repeat((start[i0:i1] - (np.cumsum(m) - m)).astype(np.int32), m)
+            b = np.arange(int(m.sum())) + np.repeat(start[i0:i1] - (np.cumsum(m) - m), m)
+            size_b = n_r.take(b)
+            ok = np.flatnonzero(size_b <= np.repeat(most[i0:i1], m))
+            a, b, size_b = np.repeat(np.arange(i0, i1), m).take(ok), b.take(ok), size_b.take(ok)
             i0 = i1
-            ok = np.flatnonzero(n_r[b] <= most[a])
-            a, b = a[ok], b[ok]
-            need = self.need[n_l[a] + n_r[b]] if len(self.need) > 2 * int(self.n.max()) else _up(self.t / (1 + self.t) * (n_l[a] + n_r[b]))
-            room = (n_l[a] - need).astype(np.int16)  # words of the smaller row that may be missing from the larger one
-            miss = np.zeros(len(a), np.int16)
-            for w in range(4):  # a word of the sketches at a time, over what is left
-                miss = miss + np.bitwise_count(sig_l[w][a] & ~sig_r[w][b])
-                if w:
-                    ok = np.flatnonzero(miss <= room)
-                    a, b, need, room, miss = a[ok], b[ok], need[ok], room[ok], miss[ok]
+            size_a = n_l.take(a)
+            need = self.need.take(size_a + size_b) if len(self.need) > 2 * int(self.n.max()) else _up(self.t / (1 + self.t) * (size_a + size_b))
+            room = (size_a - need).astype(np.int16)  # words of the smaller row that may be missing from the larger one
+            miss = np.bitwise_count(sig_l[0].take(a) & ~sig_r[0].take(b)).astype(np.int16)
+            for w in range(1, 4):  # a word of the sketches at a time, over what is left
+                miss += np.bitwise_count(sig_l[w].take(a) & ~sig_r[w].take(b))
+                ok = np.flatnonzero(miss <= room)
+                a, b, need, room, miss = a.take(ok), b.take(ok), need.take(ok), room.take(ok), miss.take(ok)
             miss = sum(np.bitwise_count(sig_r[w][b] & ~sig_l[w][a]).astype(np.int16) for w in range(4))
             ok = n_r[b] - miss >= need
             a, b = left[a[ok]], right[b[ok]]
@@ -268,13 +268,16 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
-        for b in batches:
+        place = np.empty(len(rank), np.uint64)
+        place[np.argsort(rank, kind="stable")] = np.arange(len(rank), dtype=np.uint64)
+        for b in (whole.slice(i, 8192) for whole in batches for i in range(0, whole.num_rows, 8192)):
             rep, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             tok, size = _binary(b.column(2), np.uint32)
             start = np.concatenate([[0], np.cumsum(size)])
             row = np.repeat(np.arange(len(n)), size)
-            tok = tok[np.lexsort((tok, rank[tok % len(rank)], row))]  # rarest first
-            whole = tok.tobytes()
+            # rarest first: one sort of (row, place of the word's bucket by rarity, word); batches have under 2^14 rows, tables 2^18 places
+            tok = np.sort(row.astype(np.uint64) << np.uint64(50) | place[tok % len(place)] << np.uint64(32) | tok).astype(np.uint32)
+            every = tok.tobytes()
             pos = np.arange(len(tok)) - start[row]
             bits = np.zeros((len(n), 256), bool)
             bits[row, _mix(tok) >> np.uint64(56)] = True
@@ -297,7 +300,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
             lead = order[np.concatenate([[True], np.diff(code[order]) != 0])] if len(order) else order
             r, blk, p = e[0][lead], e[1][lead], e[2][lead]
             stop = np.minimum(probe[r] + LEVELS, size[r])
-            toks = [whole[x:y] for x, y in zip((4 * (start[r] + p)).tolist(), (4 * (start[r] + stop)).tolist(), strict=True)]
+            toks = [every[x:y] for x, y in zip((4 * (start[r] + p)).tolist(), (4 * (start[r] + stop)).tolist(), strict=True)]
             sigs = [s.tobytes() for s in sig]
             for i in range(0, len(r), 20_000):
                 s = slice(i, i + 20_000)
