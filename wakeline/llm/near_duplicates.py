@@ -160,8 +160,13 @@ class _Block:
                 end = max(end, cut_at + 1)
                 end = int(np.searchsorted(g, g[min(end, len(at)) - 1], "right"))  # whole groups
                 part = at[cut_at:end]
-                self.work(*self.extend(key[part], row[part], pos[part], level), level + 1, direct)
                 cut_at = end
+                turns = -(-int(width[end - 1] - base) // (4 * self.most))
+                for turn in range(turns):  # a group too large to extend at once: its longer keys in turns
+                    some = (lambda k, turn=turn: (k >> np.uint64(20)) % np.uint64(turns) == turn) if turns > 1 else None
+                    steps = [part[i : i + 50_000] for i in range(0, len(part), 50_000)] if turns > 1 else [part]
+                    longer = [self.extend(key[x], row[x], pos[x], level, some) for x in steps]
+                    self.work(*(np.concatenate(x) for x in zip(*longer, strict=True)), level + 1, direct)
 
     def pairs(self, key, row, pos, level: int, use) -> None:
         """Every entry of a short end with the entries of larger rows that can take a partner of its size; then discards by the
@@ -261,7 +266,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
     shared = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
     many = reps.count()
     blocks = max(8, -(-many // rows_per_block))
-    heavy = max(10_000, many // 50)  # words of so many rows are split over blocks by their second word
+    heavy = max(10_000, many // 8)  # words of so many rows are split over blocks by their second word
 
     def own(k: np.ndarray) -> np.ndarray:
         return ((k >> np.uint64(17)) % np.uint64(blocks)).astype(np.int64)
