@@ -97,7 +97,7 @@ SELECT user_id, split, slot::BIGINT AS slot, item_id FROM slots WHERE slot <= 19
 
 @query(_NEG.replace("{draws}", "(SELECT user_id, split, unnest(range(1, 2049)) AS draw FROM us)"))
 def popularity_negatives(spark, sf):
-    return prep.popularity_negatives(T.histories(spark, sf, most=1000)).withColumn("slot", F.col("slot").cast("bigint"))
+    return prep.popularity_negatives(T.histories(spark, sf)).withColumn("slot", F.col("slot").cast("bigint"))
 
 
 # --- items, windows ----------------------------------------------------------------------------------------------
@@ -541,7 +541,7 @@ def memory_fold(spark, sf):
 
 
 def _candidates(spark, sf):
-    h = keep(T.histories(spark, sf, most=1000), "histories")
+    h = keep(T.histories(spark, sf), "histories")
     return prep.leave_two_out(h), ranking.candidate_lists(prep.leave_two_out(h), prep.popularity_negatives(h, splits=("test",)))
 
 
