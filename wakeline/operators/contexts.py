@@ -21,7 +21,7 @@ def node_id(ctx: Column) -> Column:
     return F.when(F.size(ctx) == 0, "ROOT").otherwise(F.concat(F.lit("CTX_"), F.size(ctx).cast("string"), F.lit("_"), F.substring(F.sha1(F.array_join(ctx, "|")), 1, 12)))
 
 
-def observations(segs: DataFrame, max_order: int = 3) -> DataFrame:
+def observations(segs: DataFrame, max_order: int = 5) -> DataFrame:
     """(user_id, ctx, target): each entry of a segment but the first, once for every suffix of up to max_order states before it
     (none for ROOT). Windows of max_order rows; a long segment is never gathered."""
     v = Window.partitionBy("user_id", "seg").orderBy("pos")
@@ -131,7 +131,7 @@ def next_states(nodes: DataFrame, top: int = 5, column: str = "smoothed") -> Dat
     return rows.filter(F.col("rank") <= top) if top > 0 else rows
 
 
-def query_tree(nodes: DataFrame, recent: DataFrame, max_order: int = 3, top: int = 3) -> DataFrame:
+def query_tree(nodes: DataFrame, recent: DataFrame, max_order: int = 5, top: int = 3) -> DataFrame:
     """For each (user_id, suffix): the deepest context and the deepest active one among the suffix's ends, why the walk stops, and the
     active one's first `top` next states. Users whose ends are unknown fall back to ROOT."""
     s = recent.withColumn("q", F.slice("suffix", F.greatest(F.size("suffix") - max_order + 1, F.lit(1)), max_order))

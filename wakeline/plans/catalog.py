@@ -337,7 +337,7 @@ b AS (SELECT user_id, max(n) AS n, max(k) AS deepest, arg_max(ctx, k) AS matched
 o AS (SELECT ctx, target, p, row_number() OVER (PARTITION BY ctx ORDER BY round(p, 12) DESC, target) AS rank FROM smooth)
 SELECT b.user_id, b.matched, b.context, CASE WHEN deepest = n THEN 'history_exhausted' ELSE 'missing_reverse_edge' END AS stop, o.target AS next_state, round(o.p, 6) AS probability FROM b JOIN o ON o.ctx = b.context AND o.rank = 1""")
 def tree_query(spark, sf):
-    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf), 3))
+    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf)))
     return q.select("user_id", F.array_join("matched", "|").alias("matched"), F.array_join("context", "|").alias("context"), "stop", F.col("next")[0]["state_id"].alias("next_state"), F.col("next")[0]["probability"].alias("probability"))
 
 
@@ -739,11 +739,11 @@ def bounded_behaviors(spark, sf):
 @query()
 def mapping_diagnostics(spark, sf):
     mapped = vectors.map_to_states(_vectors(spark, sf), _states(spark, sf).filter("label < 8"), "vec_id", "label", "embedding", min_similarity=0.15)
-    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf), 3))
+    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf)))
     return reports.mapping_diagnostics(mapped, q)
 
 
 @query()
 def tree_rank_evidence(spark, sf):
-    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf), 3))
+    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf)))
     return contexts.rank_evidence(q, states.state_profiles(T.state_members(spark, sf)))

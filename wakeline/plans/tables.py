@@ -40,11 +40,11 @@ def segs(spark: SparkSession, sf: str, collapse: bool = False) -> DataFrame:
     return segments.segments(assignments(spark, sf), collapse)
 
 
-def counts(spark: SparkSession, sf: str, max_order: int = 3) -> DataFrame:
+def counts(spark: SparkSession, sf: str, max_order: int = 5) -> DataFrame:
     return contexts.context_counts(contexts.observations(segs(spark, sf), max_order))
 
 
-def nodes(spark: SparkSession, sf: str, max_order: int = 3) -> DataFrame:
+def nodes(spark: SparkSession, sf: str, max_order: int = 5) -> DataFrame:
     return contexts.activate(contexts.contexts(counts(spark, sf, max_order)))
 
 
