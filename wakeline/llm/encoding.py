@@ -153,6 +153,25 @@ def viterbi(bytes_: list[int | None], written: str, model: Model, alphabet: list
     return sorted(((s + model.step(p, " "), t) for p, (s, t) in columns[n].items()), reverse=True)
 
 
+#: what whole UTF-8 sequences in misread words stand for: letters of two bytes, punctuation and signs, emoji
+_MISREAD = re.compile("[\x00-\u05ff\u2000-\u214f\U0001f000-\U0001faff]+")
+
+
+@lru_cache(200_000)
+def whole_utf8(token: str) -> frozenset[str]:
+    """The channels by which the token's bytes make up whole UTF-8 sequences, as they seldom do unless it was misread."""
+    out = set()
+    for read in READ:
+        raw = lattice(token, read)
+        if raw is not None and None not in raw:
+            try:
+                if _MISREAD.fullmatch(bytes(raw).decode()):
+                    out.add(f"utf-8>{read}")
+            except UnicodeDecodeError:
+                pass
+    return frozenset(out)
+
+
 class Decoder:
     def __init__(self, model: Model, margin: float = 4.0):
         self.model, self.margin = model, margin
@@ -238,7 +257,8 @@ _COUNTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int6
 
 
 def train(df: DataFrame, text: str, word_buckets: int = 1 << 20, pair_buckets: int = 1 << 18) -> Model:
-    """The model of all texts. What reaches the driver is bounded by the table sizes and by Unicode's characters."""
+    """The model of all texts. k copies of a text weigh 1 + log2 k, and tokens that read as whole UTF-8 sequences don't count, so that
+    damage that was repeated doesn't vouch for itself. What reaches the driver is bounded by the table sizes and by Unicode's characters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, int] = {}
@@ -247,6 +267,8 @@ def train(df: DataFrame, text: str, word_buckets: int = 1 << 20, pair_buckets: i
 
         def add() -> None:
             for t, n in tally.items():
+                if whole_utf8(t):
+                    continue
                 words[_hash(core(t)) % word_buckets] += n
                 p = f" {t.lower()} "
                 for a, b in zip(p, p[1:], strict=False):
@@ -255,9 +277,9 @@ def train(df: DataFrame, text: str, word_buckets: int = 1 << 20, pair_buckets: i
             tally.clear()
 
         for b in batches:
-            for s in b.column(0).to_pylist():
+            for s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for t in tokens(s):
-                    tally[t] = tally.get(t, 0) + 1
+                    tally[t] = tally.get(t, 0) + k
             if len(tally) > 200_000:
                 add()
         add()
@@ -267,7 +289,7 @@ def train(df: DataFrame, text: str, word_buckets: int = 1 << 20, pair_buckets: i
                 x = at[i : i + 100_000]
                 yield pa.record_batch([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(a[x])], schema=_COUNTS)
 
-    rows = df.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(count, "kind int, bucket bigint, n bigint")
+    rows = df.select(F.col(text).alias("t")).filter("t is not null").groupBy("t").agg(F.round(1 + F.log2(F.count("*"))).cast("long").alias("k")).mapInArrow(count, "kind int, bucket bigint, n bigint")
     got = rows.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     kind, bucket, n = (got[c].to_numpy() for c in ("kind", "bucket", "n"))
     words, pairs = np.zeros(word_buckets, np.int64), np.zeros(pair_buckets, np.int64)
@@ -286,7 +308,7 @@ def garbled(df: DataFrame, doc_id: str = "doc_id", text: str = "text", margin: f
     than once counts once (its row with most garbled tokens, then the smallest restored text). An empty table gives no rows. Other
     columns are not read.
 
-    Two scans: one counts words and character pairs of all texts into tables of fixed size, the other decodes.
+    Two scans: one counts words and character pairs of all texts, a text's copies together, into tables of fixed size, the other decodes.
     """
     spark = df.sparkSession
     m = train(df, text, word_buckets)
