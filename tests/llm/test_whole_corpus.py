@@ -2,7 +2,7 @@
 
 import random
 
-from wakeline.llm import encoding
+from wakeline.llm import encoding, pairs
 
 
 def test_copies_of_a_garbled_text_do_not_vouch_for_it(spark):
@@ -14,3 +14,14 @@ def test_copies_of_a_garbled_text_do_not_vouch_for_it(spark):
         d = spark.createDataFrame([*enumerate(clean), *enumerate(copies, 1000)], "doc_id bigint, text string")
         got = {x["doc_id"]: x["restored"] for x in encoding.garbled(d).collect()}
         assert got == {1000 + i: s.encode("latin-1").decode() for i, s in enumerate(copies)}
+
+
+def test_rare_ends_of_sentences_are_told_in_a_large_vocabulary(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    noise = [" ".join(word() for _ in range(200)) + "." for _ in range(12_000)]  # about 9 million runs, none of which ends a sentence but the last
+    asked = [" ".join(word() for _ in range(6)) for _ in range(300)]
+    # each last word ends sentences eight times; runs of four are seen once, and must not be taken for more
+    known = [f"{word()} {word()} {word()} {a.split()[-1]}." for a in asked for _ in range(8)]
+    d = spark.createDataFrame([(i, "", a) for i, a in enumerate(asked)] + [(1000 + i, "", a) for i, a in enumerate(noise + known)], "id bigint, p string, a string")
+    assert pairs.broken_pairs(d, "id", "p", "a").filter("defect = 'truncated'").count() == 0
