@@ -2,7 +2,7 @@
 
 import random
 
-from wakeline.llm import encoding, pairs
+from wakeline.llm import encoding, near_duplicates, pairs
 
 
 def test_copies_of_a_garbled_text_do_not_vouch_for_it(spark):
@@ -25,3 +25,12 @@ def test_rare_ends_of_sentences_are_told_in_a_large_vocabulary(spark):
     known = [f"{word()} {word()} {word()} {a.split()[-1]}." for a in asked for _ in range(8)]
     d = spark.createDataFrame([(i, "", a) for i, a in enumerate(asked)] + [(1000 + i, "", a) for i, a in enumerate(noise + known)], "id bigint, p string, a string")
     assert pairs.broken_pairs(d, "id", "p", "a").filter("defect = 'truncated'").count() == 0
+
+
+def test_large_classes_give_all_pairs(spark):
+    r = random.Random(9)
+    w = [f"w{i}" for i in range(10)]
+    d = spark.createDataFrame([(i, " ".join(r.sample(w, 10))) for i in range(65)] + [(100, " ".join(w[:9]))], "id bigint, a string")
+    got = {(x["a"], x["b"]) for x in near_duplicates.similar_pairs(*near_duplicates.similar_classes(d, "id", ["a"], 0.6)).collect()}
+    ids = [*range(65), 100]
+    assert got == {(x, y) for x in ids for y in ids if x < y}

@@ -239,6 +239,7 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
     t = threshold
     spark = df.sparkSession
     src = df.select(F.col(key).cast("long").alias("key"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(texts)]).filter("key is not null")
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Words()
         for b in batches:
@@ -250,17 +251,18 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
             yield pa.record_batch(
                 [
                     b.column(0).take(pa.array(ok)),
+                    pa.array([xxhash.xxh3_128_digest("\x1f".join(x or "" for x in row)) for row in zip(*(c.take(pa.array(ok)).to_pylist() for c in b.columns[1:]), strict=True)], pa.binary()),
                     pa.array([xxhash.xxh3_128_digest(toks[i]) for i in ok], pa.binary()),
                     pa.array(n[ok].astype(np.int32)),
                     pa.array([toks[i] for i in ok], pa.binary()),
                 ],
-                names=["key", "h", "n", "toks"],
+                names=["key", "text", "h", "n", "toks"],
             )
 
-    coded = src.mapInArrow(encode, "key bigint, h binary, n int, toks binary")
+    coded = src.mapInArrow(encode, "key bigint, text binary, h binary, n int, toks binary")
     coded = keep(coded, "word-rows")
     reps = keep(coded.groupBy("h").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.min("toks").alias("toks")), "word-classes")
-    classes = coded.select("key", "h").distinct().join(reps.select("h", "rep", "n"), "h").select("key", "rep", "n")
+    classes = coded.select("key", "text", "h").distinct().join(reps.select("h", "rep", "n"), "h").select("key", "rep", "n", "text")
 
     counts = rarity(reps)
     shared = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
@@ -364,18 +366,16 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
 
 
 def similar_pairs(classes: DataFrame, links: DataFrame, expand: int = 64) -> DataFrame:
-    """(a, b) with a < b: all pairs of records. A class of more than `expand` equal texts is not multiplied out: its members
-    pair with its representative alone, which stands for them in the links."""
-    some = classes.groupBy("rep").agg(F.count("*").alias("copies")).filter("copies > 1")
-    member = classes.select("key", "rep").join(some, "rep", "left").withColumn("small", F.coalesce(F.col("copies"), F.lit(1)) <= expand)
-    in_class = member.filter("copies > 1")
-    star = in_class.filter("not small and key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-    m = in_class.filter("small").groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("ks"))
-    inner = m.select(F.posexplode("ks").alias("i", "a"), "ks").select("a", F.explode(F.expr("slice(ks, i + 2, size(ks))")).alias("b"))
-    stands = member.filter("small or key = rep").select("key", "rep")
-    x = links.select("rep_a", "rep_b").join(stands.select(F.col("rep").alias("rep_a"), F.col("key").alias("x")), "rep_a")
-    x = x.join(stands.select(F.col("rep").alias("rep_b"), F.col("key").alias("y")), "rep_b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return star.union(inner).union(x).distinct()
+    """(a, b) with a < b: all pairs of records, of a class of equal word sets too. Only more than `expand` copies of one text are
+    not multiplied out: they pair with their smallest key alone, which stands for them in the pairs with other texts."""
+    copies = classes.groupBy("text").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
+    member = classes.select("key", "rep", "text").join(copies, "text").withColumn("small", F.col("copies") <= expand)
+    star = member.filter("not small and key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    stands = member.filter("small or key = first").select("rep", F.col("key").alias("x"))
+    also = stands.withColumnRenamed("x", "y")
+    inner = stands.join(also, "rep").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    x = links.select("rep_a", "rep_b").join(stands.withColumnRenamed("rep", "rep_a"), "rep_a").join(also.withColumnRenamed("rep", "rep_b"), "rep_b")
+    return star.union(inner).union(x.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
