@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wakeline.storage import keep
+
+#: ROOT's distribution is broadcast for up to this many states
+STATE_LIMIT = 1_000_000
+
 
 def suffix_parent(ctx: Column) -> Column:
     return F.slice(ctx, 2, F.greatest(F.size(ctx) - 1, F.lit(0)))
@@ -59,21 +64,25 @@ def support(counts: DataFrame) -> DataFrame:
 def contexts(counts: DataFrame, mode: str = "user_normalized", kappa: float = 5.0) -> DataFrame:
     """One row a context: raw and smoothed next-state distributions as maps, smoothing weight, supports.
 
-    smooth = l * raw + (1 - l) * smooth(parent), l = users / (users + kappa), 1 at ROOT. Unrolled: the context's suffix chain
-    is exploded, joined once to (raw, l), and folded from ROOT down over ROOT's states.
+    smooth = l * raw + (1 - l) * smooth(parent), l = users / (users + kappa), 1 at ROOT. Unrolled: the context's chain of suffixes but
+    ROOT is exploded, joined once to (raw, l), and folded over ROOT's states from ROOT down. ROOT, a suffix of every context, is no
+    join key: it is one row, of as many entries as there are states, broadcast after a check of that number.
     """
     w = weights(counts, mode)
     total = w.groupBy("ctx").agg(F.sum("weight").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "weight")))).alias("m"))
     raw = total.select("ctx", F.transform_values("m", lambda k, x: x / F.col("total")).alias("raw"))
     lam = F.when(F.size("ctx") == 0, 1.0).otherwise(F.when(F.lit(kappa) <= 0, 1.0).otherwise(F.col("support_users") / (F.col("support_users") + F.lit(kappa))))
-    node = raw.join(support(counts), "ctx").withColumn("lambda", lam)
-    chain = node.select("ctx", F.explode(F.sequence(F.lit(0), F.size("ctx"))).alias("j")).select("ctx", "j", F.slice("ctx", F.size("ctx") - F.col("j") + 1, F.col("j")).alias("sfx"))
+    node = keep(raw.join(support(counts), "ctx").withColumn("lambda", lam), "contexts")
+    root = node.filter(F.size("ctx") == 0).select(F.map_keys("raw").alias("states"), F.col("raw").alias("root"))
+    if (root.agg(F.max(F.size("states")).alias("n")).first()["n"] or 0) > STATE_LIMIT:
+        raise ValueError("over the number of states whose distribution is broadcast")
+    chain = node.filter(F.size("ctx") > 0).select("ctx", F.explode(F.sequence(F.lit(1), F.size("ctx"))).alias("j")).select("ctx", "j", F.slice("ctx", F.size("ctx") - F.col("j") + 1, F.col("j")).alias("sfx"))
     parts = chain.join(node.select(F.col("ctx").alias("sfx"), F.col("raw").alias("r"), F.col("lambda").alias("l")), "sfx")
     by_length = lambda x, y: x["j"] - y["j"]
     folded = parts.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("j", "r", "l")), by_length).alias("chain"))
-    keys = F.map_keys(F.col("chain")[0]["r"])
-    smooth = F.map_from_arrays(keys, F.transform(keys, lambda t: F.aggregate("chain", F.lit(0.0), lambda acc, x: x["l"] * F.coalesce(F.try_element_at(x["r"], t), F.lit(0.0)) + (1 - x["l"]) * acc)))
-    return node.join(folded.select("ctx", smooth.alias("smoothed")), "ctx")
+    given = F.coalesce("chain", F.array().cast(folded.schema["chain"].dataType))
+    smooth = F.map_from_arrays("states", F.transform("states", lambda t: F.aggregate(given, F.element_at("root", t), lambda acc, x: x["l"] * F.coalesce(F.try_element_at(x["r"], t), F.lit(0.0)) + (1 - x["l"]) * acc)))
+    return node.join(folded, "ctx", "left").crossJoin(F.broadcast(root)).select(*node.columns, smooth.alias("smoothed"))  # root: one row
 
 
 def entropy_bits(dist: Column) -> Column:
@@ -106,10 +115,12 @@ def activate(nodes: DataFrame, min_users: int = 3, min_occurrences: int = 3, min
 
 def backoff(nodes: DataFrame) -> DataFrame:
     """(ctx, backoff): the longest strictly shorter suffix that is active; ROOT has none."""
-    shorter = nodes.filter(F.size("ctx") > 0).select("ctx", F.explode(F.sequence(F.lit(0), F.size("ctx") - 1)).alias("n"))
+    shorter = nodes.filter(F.size("ctx") > 1).select("ctx", F.explode(F.sequence(F.lit(1), F.size("ctx") - 1)).alias("n"))
     shorter = shorter.select("ctx", "n", F.slice("ctx", F.size("ctx") - F.col("n") + 1, F.col("n")).alias("sfx"))
     on = nodes.filter("active").select(F.col("ctx").alias("sfx"))
-    return shorter.join(on, "sfx", "left_semi").groupBy("ctx").agg(F.max_by("sfx", "n").alias("backoff"))
+    found = shorter.join(on, "sfx", "left_semi").groupBy("ctx").agg(F.max_by("sfx", "n").alias("backoff"))
+    # ROOT is always active, and no join key
+    return nodes.filter(F.size("ctx") > 0).select("ctx").join(found, "ctx", "left").select("ctx", F.coalesce("backoff", F.array().cast("array<string>")).alias("backoff"))
 
 
 def tree_edges(nodes: DataFrame) -> DataFrame:
@@ -133,14 +144,18 @@ def next_states(nodes: DataFrame, top: int = 5, column: str = "smoothed") -> Dat
 
 def query_tree(nodes: DataFrame, recent: DataFrame, max_order: int = 5, top: int = 3) -> DataFrame:
     """For each (user_id, suffix): the deepest context and the deepest active one among the suffix's ends, why the walk stops, and the
-    active one's first `top` next states. Users whose ends are unknown fall back to ROOT."""
-    s = recent.withColumn("q", F.slice("suffix", F.greatest(F.size("suffix") - max_order + 1, F.lit(1)), max_order))
-    ends = s.select("user_id", F.size("q").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("q")), lambda k: F.slice("q", F.size("q") - k + 1, k))).alias("ctx"))
-    known = nodes.select("ctx", "active")
-    got = ends.join(known, "ctx").groupBy("user_id", "n").agg(F.max_by("ctx", F.size("ctx")).alias("matched"), F.max_by("ctx", F.when(F.col("active"), F.size("ctx"))).alias("context"))
-    got = got.withColumn("stop", F.when(F.size("matched") == F.col("n"), "history_exhausted").otherwise("missing_reverse_edge"))
+    active one's first `top` next states. Users whose ends are unknown fall back to ROOT, which is one broadcast row and no join key.
+    Without a ROOT there are no rows."""
+    s = recent.withColumn("q", F.slice("suffix", F.greatest(F.size("suffix") - max_order + 1, F.lit(1)), max_order)).select("user_id", F.size("q").alias("n"), "q")
+    ends = s.filter("n > 0").select("user_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("q")), lambda k: F.slice("q", F.size("q") - k + 1, k))).alias("ctx"))
+    got = ends.join(nodes.select("ctx", "active"), "ctx").groupBy("user_id").agg(F.max_by("ctx", F.size("ctx")).alias("matched"), F.max_by("ctx", F.when(F.col("active"), F.size("ctx"))).alias("context"))
     best = next_states(nodes.filter("active"), top).groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("rank", "state_id", F.round("probability", 6).alias("probability")))).alias("next")).withColumnRenamed("ctx", "context")
-    return got.join(best, "context", "left").select("user_id", "matched", "context", "stop", "next")
+    empty = F.array().cast("array<string>")
+    root = nodes.filter(F.size("ctx") == 0).select("ctx").join(best.filter(F.size("context") == 0), F.expr("true"), "left").select(F.col("next").alias("root_next"))
+    walked = s.join(got, "user_id", "left").select("user_id", "n", F.coalesce("matched", empty).alias("matched"), "context")
+    found = walked.join(best.filter(F.size("context") > 0), "context", "left").crossJoin(F.broadcast(root))  # root: one row
+    stop = F.when(F.size("matched") == F.col("n"), "history_exhausted").otherwise("missing_reverse_edge")
+    return found.select("user_id", "matched", F.coalesce("context", empty).alias("context"), stop.alias("stop"), F.when(F.col("context").isNull(), F.col("root_next")).otherwise(F.col("next")).alias("next"))
 
 
 def checked_nodes(nodes: DataFrame) -> DataFrame:

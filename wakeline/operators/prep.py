@@ -81,7 +81,7 @@ def popularity_negatives(histories: DataFrame, per_user: int = 19, seed: int = 4
     """(user_id, split, slot, item_id): per_user items a user has not touched, drawn without replacement in proportion to popularity.
 
     Draw j of a user falls on the item whose stretch of the cumulated popularity holds hash(seed, split, user, j); draws of
-    items touched or drawn before are rejected. Draws are made in rounds of 64, 512, 4,096 ... for the users still short, so a
+    items touched or drawn before are rejected. Draws are made in rounds of 32, 256, 2,048 ... for the users still short, so a
     user costs what their own history asks for; the items' stretches are two arrays of a catalogue's size, checked before they are
     broadcast. A user for whom a million draws don't suffice raises.
     """
@@ -103,7 +103,7 @@ def popularity_negatives(histories: DataFrame, per_user: int = 19, seed: int = 4
 
     short = histories.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, splits))).alias("split"))
     touched = histories.select("user_id", "item_id")
-    done, draws = None, 64
+    done, draws = None, 32
     while True:
         u = uniform_hash(F.lit(seed), F.col("split"), F.col("user_id"), F.col("draw")) % total
         tries = short.select("user_id", "split", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", u)

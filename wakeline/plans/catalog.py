@@ -84,18 +84,17 @@ def train_vocabulary(spark, sf):
     return prep.train_vocabulary(T.read(spark, sf, "items").filter("item_id is not null"), T.sequences(spark, sf)).select("item_id", *_big("source", "first_seen"))
 
 
-_NEG = f"""WITH {S.HISTORIES.replace("5000", "1000")},
+_NEG = f"""WITH {S.HISTORIES},
 cdf AS (SELECT item_id, sum(users) OVER (ORDER BY item_id) - users AS lo, sum(users) OVER () AS total FROM (SELECT item_id, count(*) AS users FROM hist GROUP BY 1)),
-us AS (SELECT DISTINCT user_id, split FROM hist, (VALUES ('val'), ('test')) v(split)),
-u64 AS (SELECT user_id, split, unnest(range(1, 65)) AS draw FROM us),
-hit AS (SELECT user_id, split, draw, ('0x' || substr(md5('42:' || split || ':' || user_id || ':' || draw), 1, 12))::BIGINT % (SELECT max(total) FROM cdf) AS u FROM {{draws}}),
+us AS (SELECT DISTINCT user_id, split, CASE WHEN n_items > 500 THEN 4097 ELSE 257 END AS draws FROM hist, (VALUES ('val'), ('test')) v(split)),
+hit AS (SELECT user_id, split, draw, ('0x' || substr(md5('42:' || split || ':' || user_id || ':' || draw), 1, 12))::BIGINT % (SELECT max(total) FROM cdf) AS u FROM (SELECT user_id, split, unnest(range(1, draws)) AS draw FROM us)),
 landed AS (SELECT h.user_id, h.split, h.draw, c.item_id FROM hit h ASOF JOIN cdf c ON h.u >= c.lo),
 fresh AS (SELECT l.user_id, l.split, l.item_id, min(l.draw) AS draw FROM landed l LEFT JOIN hist t ON t.user_id = l.user_id AND t.item_id = l.item_id WHERE t.user_id IS NULL GROUP BY ALL),
 slots AS (SELECT user_id, split, row_number() OVER (PARTITION BY user_id, split ORDER BY draw) AS slot, item_id FROM fresh)
 SELECT user_id, split, slot::BIGINT AS slot, item_id FROM slots WHERE slot <= 19"""
 
 
-@query(_NEG.replace("{draws}", "(SELECT user_id, split, unnest(range(1, 2049)) AS draw FROM us)"))
+@query(_NEG)
 def popularity_negatives(spark, sf):
     return prep.popularity_negatives(T.histories(spark, sf)).withColumn("slot", F.col("slot").cast("bigint"))
 
@@ -287,7 +286,7 @@ def context_counts(spark, sf):
 
 @query(f"WITH {S.CONTEXTS} SELECT ctx, target, round(weight, 6) AS user_normalized, occurrences::DOUBLE AS occurrence, users::DOUBLE AS distinct_user FROM w")
 def context_weights(spark, sf):
-    c = keep(T.counts(spark, sf), "context-counts")
+    c = T.counts(spark, sf)
     w = contexts.weights(c).select("ctx", "target", F.round("weight", 6).alias("user_normalized"))
     for mode in ("occurrence", "distinct_user"):
         w = w.join(contexts.weights(c, mode).select("ctx", "target", F.col("weight").alias(mode)), ["ctx", "target"])
@@ -308,8 +307,7 @@ def context_activation(spark, sf):
     return d.select(_ctx(), *_big("support_users", "support_occurrences"), F.round("lambda", 6).alias("lambda"), F.round("jsd", 6).alias("jsd"), F.round("entropy", 6).alias("entropy"), "reason", "active")
 
 
-@query(f"""WITH {S.ACTIVE}, up AS (SELECT ctx, ord, parent FROM node_act WHERE ord > 0),
-chain AS (SELECT ctx, parent AS s, ord - 1 AS n FROM up UNION ALL SELECT ctx, regexp_replace(parent, '^[^|]*([|]|$)', ''), ord - 2 FROM up WHERE ord >= 2 UNION ALL SELECT ctx, '', 0 FROM up WHERE ord = 3),
+@query(f"""WITH RECURSIVE {S.ACTIVE}, chain AS (SELECT ctx, parent AS s, ord - 1 AS n FROM node_act WHERE ord > 0 UNION ALL SELECT ctx, regexp_replace(s, '^[^|]*([|]|$)', ''), n - 1 FROM chain WHERE n > 0),
 best AS (SELECT c.ctx, c.s, row_number() OVER (PARTITION BY c.ctx ORDER BY c.n DESC) AS r FROM chain c JOIN node_act a ON a.ctx = c.s WHERE a.active)
 SELECT ctx, s AS backoff FROM best WHERE r = 1""")
 def active_backoff(spark, sf):
@@ -330,14 +328,14 @@ def node_ids(spark, sf):
     return T.read(spark, sf, "context_stats").select(F.col("node_id").alias("stored"), contexts.node_id(F.col("context_states")).alias("computed")).distinct()
 
 
-@query(f"""WITH {S.ACTIVE}, {_SUFFIX}, s AS (SELECT user_id, list(state_id ORDER BY r DESC) AS q FROM tail WHERE bad = 0 AND r <= 3 GROUP BY 1),
-ends AS (SELECT user_id, len(q) AS n, k, CASE WHEN k = 0 THEN '' ELSE array_to_string(q[len(q) - k + 1 : len(q)], '|') END AS ctx FROM s, range(0, 4) t(k) WHERE k <= len(q)),
+@query(f"""WITH {S.ACTIVE}, {_SUFFIX}, s AS (SELECT user_id, list(state_id ORDER BY r DESC) AS q FROM tail WHERE bad = 0 AND r <= {S.ORDERS} GROUP BY 1),
+ends AS (SELECT user_id, len(q) AS n, k, CASE WHEN k = 0 THEN '' ELSE array_to_string(q[len(q) - k + 1 : len(q)], '|') END AS ctx FROM s, range(0, {S.ORDERS + 1}) t(k) WHERE k <= len(q)),
 m AS (SELECT e.user_id, e.n, e.k, e.ctx, a.active FROM ends e JOIN node_act a USING (ctx)),
 b AS (SELECT user_id, max(n) AS n, max(k) AS deepest, arg_max(ctx, k) AS matched, arg_max(ctx, k) FILTER (WHERE active) AS context FROM m GROUP BY 1),
 o AS (SELECT ctx, target, p, row_number() OVER (PARTITION BY ctx ORDER BY round(p, 12) DESC, target) AS rank FROM smooth)
 SELECT b.user_id, b.matched, b.context, CASE WHEN deepest = n THEN 'history_exhausted' ELSE 'missing_reverse_edge' END AS stop, o.target AS next_state, round(o.p, 6) AS probability FROM b JOIN o ON o.ctx = b.context AND o.rank = 1""")
 def tree_query(spark, sf):
-    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf)))
+    q = contexts.query_tree(T.nodes(spark, sf), segments.latest_suffix(T.assignments(spark, sf)))
     return q.select("user_id", F.array_join("matched", "|").alias("matched"), F.array_join("context", "|").alias("context"), "stop", F.col("next")[0]["state_id"].alias("next_state"), F.col("next")[0]["probability"].alias("probability"))
 
 
@@ -739,11 +737,11 @@ def bounded_behaviors(spark, sf):
 @query()
 def mapping_diagnostics(spark, sf):
     mapped = vectors.map_to_states(_vectors(spark, sf), _states(spark, sf).filter("label < 8"), "vec_id", "label", "embedding", min_similarity=0.15)
-    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf)))
+    q = contexts.query_tree(T.nodes(spark, sf), segments.latest_suffix(T.assignments(spark, sf)))
     return reports.mapping_diagnostics(mapped, q)
 
 
 @query()
 def tree_rank_evidence(spark, sf):
-    q = contexts.query_tree(keep(T.nodes(spark, sf), "nodes"), segments.latest_suffix(T.assignments(spark, sf)))
+    q = contexts.query_tree(T.nodes(spark, sf), segments.latest_suffix(T.assignments(spark, sf)))
     return contexts.rank_evidence(q, states.state_profiles(T.state_members(spark, sf)))

@@ -60,14 +60,20 @@ segs AS (SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY cut) -
   FROM cuts WHERE coalesce(assignment_accepted, false))
 """
 
-CONTEXTS = (
-    SEGMENTS
-    + """,
-lags AS (SELECT user_id, state_id AS target, lag(state_id, 1) OVER w AS a, lag(state_id, 2) OVER w AS b, lag(state_id, 3) OVER w AS c FROM segs WINDOW w AS (PARTITION BY user_id, seg ORDER BY pos)),
-obs AS (SELECT user_id, 0 AS ord, '' AS ctx, target FROM lags WHERE a IS NOT NULL
-  UNION ALL SELECT user_id, 1, a, target FROM lags WHERE a IS NOT NULL
-  UNION ALL SELECT user_id, 2, b || '|' || a, target FROM lags WHERE b IS NOT NULL
-  UNION ALL SELECT user_id, 3, c || '|' || b || '|' || a, target FROM lags WHERE c IS NOT NULL),
+#: as many states as the default trees' contexts have
+ORDERS = 5
+
+
+def _ordered() -> str:
+    lags = ", ".join(f"lag(state_id, {k}) OVER w AS l{k}" for k in range(1, ORDERS + 1))
+    obs = ["SELECT user_id, 0 AS ord, '' AS ctx, target FROM lags WHERE l1 IS NOT NULL"]
+    obs += [f"SELECT user_id, {k}, {" || '|' || ".join(f'l{i}' for i in range(k, 0, -1))}, target FROM lags WHERE l{k} IS NOT NULL" for k in range(1, ORDERS + 1)]
+    return f"""lags AS (SELECT user_id, state_id AS target, {lags} FROM segs WINDOW w AS (PARTITION BY user_id, seg ORDER BY pos)),
+obs AS ({" UNION ALL ".join(obs)})"""
+
+
+CONTEXTS = f"""{SEGMENTS},
+{_ordered()},
 cnt AS (SELECT ord, ctx, user_id, target, count(*) AS n FROM obs GROUP BY ALL),
 own AS (SELECT ctx, user_id, sum(n) AS own FROM cnt GROUP BY ALL),
 w AS (SELECT ord, ctx, target, sum(n::DOUBLE / own) AS weight, sum(n) AS occurrences, count(*) AS users FROM cnt JOIN own USING (ctx, user_id) GROUP BY ALL),
@@ -76,19 +82,19 @@ raw AS (SELECT ord, ctx, target, weight / total AS p FROM w JOIN tot USING (ctx)
 node AS (SELECT c.ord, c.ctx, count(DISTINCT c.user_id) AS support_users, sum(c.n) AS support_occurrences, CASE WHEN c.ord = 0 THEN 1.0 ELSE count(DISTINCT c.user_id) / (count(DISTINCT c.user_id) + 5.0) END AS lam,
   CASE WHEN c.ord <= 1 THEN '' ELSE regexp_replace(c.ctx, '^[^|]*[|]', '') END AS parent FROM cnt c GROUP BY c.ord, c.ctx)
 """
-)
 
-SMOOTHED = (
-    CONTEXTS
-    + """,
+
+def _smooth(k: int) -> str:
+    above = "s0 q ON" if k == 1 else f"s{k - 1} q ON q.ctx = n.parent AND"
+    return f"s{k} AS (SELECT n.ctx, t.target, n.lam * coalesce(r.p, 0) + (1 - n.lam) * q.p AS p FROM node n CROSS JOIN states t LEFT JOIN raw r ON r.ctx = n.ctx AND r.target = t.target JOIN {above} q.target = t.target WHERE n.ord = {k})"
+
+
+SMOOTHED = f"""{CONTEXTS},
 states AS (SELECT DISTINCT target FROM raw WHERE ord = 0),
 s0 AS (SELECT ctx, target, p FROM raw WHERE ord = 0),
-s1 AS (SELECT n.ctx, t.target, n.lam * coalesce(r.p, 0) + (1 - n.lam) * q.p AS p FROM node n CROSS JOIN states t LEFT JOIN raw r ON r.ctx = n.ctx AND r.target = t.target JOIN s0 q ON q.target = t.target WHERE n.ord = 1),
-s2 AS (SELECT n.ctx, t.target, n.lam * coalesce(r.p, 0) + (1 - n.lam) * q.p AS p FROM node n CROSS JOIN states t LEFT JOIN raw r ON r.ctx = n.ctx AND r.target = t.target JOIN s1 q ON q.ctx = n.parent AND q.target = t.target WHERE n.ord = 2),
-s3 AS (SELECT n.ctx, t.target, n.lam * coalesce(r.p, 0) + (1 - n.lam) * q.p AS p FROM node n CROSS JOIN states t LEFT JOIN raw r ON r.ctx = n.ctx AND r.target = t.target JOIN s2 q ON q.ctx = n.parent AND q.target = t.target WHERE n.ord = 3),
-smooth AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)
+{", ".join(_smooth(k) for k in range(1, ORDERS + 1))},
+smooth AS ({" UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(ORDERS + 1))})
 """
-)
 
 ACTIVE = (
     SMOOTHED

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.operators import contexts, items, memories, prep, segments
+from wakeline.storage import keep
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,11 +42,11 @@ def segs(spark: SparkSession, sf: str, collapse: bool = False) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf: str, max_order: int = 5) -> DataFrame:
-    return contexts.context_counts(contexts.observations(segs(spark, sf), max_order))
+    return keep(contexts.context_counts(contexts.observations(segs(spark, sf), max_order)), "context-counts")
 
 
 def nodes(spark: SparkSession, sf: str, max_order: int = 5) -> DataFrame:
-    return contexts.activate(contexts.contexts(counts(spark, sf, max_order)))
+    return keep(contexts.activate(contexts.contexts(counts(spark, sf, max_order))), "nodes")
 
 
 def state_members(spark: SparkSession, sf: str) -> DataFrame:
