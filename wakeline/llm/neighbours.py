@@ -1,5 +1,5 @@
-"""Most similar vectors for every vector: shifted Hilbert curves, whose key windows are compared and merged, then an exact
-check that completes what the windows cannot prove."""
+"""Most similar vectors for every vector: shifted Hilbert curves, range-partitioned; each window of a curve is compared as a whole with
+itself and its neighbours, and the curves' lists are merged and ranked again. An exact check then completes what the windows cannot prove."""
 
 from __future__ import annotations
 
@@ -159,6 +159,80 @@ def _lists(key, nbr, cos) -> pa.RecordBatch:
     return pa.record_batch([pa.array(key), pa.array(nbr), pa.array(cos)], names=["key", "nbr", "cos"])
 
 
+def along(table: DataFrame, curve: Curve, n: int, window: int, windows_a_task: int) -> DataFrame:
+    """(place, key, v) of the vectors, range-partitioned by their place on the curve, about windows_a_task windows a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            u = matrix(x.column(1))[1]
+            yield pa.record_batch([pa.array(curve(u) if len(u) else np.zeros(0, np.int64)), x.column(0), x.column(1)], names=["place", "key", "v"])
+
+    parts = max(1, -(-n // (window * windows_a_task)))
+    return table.select("key", "v").mapInArrow(run, "place bigint, key bigint, v binary").repartitionByRange(parts, "place", "key")
+
+
+def windows_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, slice, slice]]:
+    """(keys, raw, unit, a window's rows, the rows of it and of its neighbours on both sides) along a partition of a curve."""
+    parts = [x for x in batches if x.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).sort_by([("place", "ascending"), ("key", "ascending")])
+    key, (raw, u) = t["key"].to_numpy(), matrix(t["v"])
+    for i in range(0, len(key), window):
+        yield key, raw, u, slice(i, min(i + window, len(key))), slice(max(0, i - window), min(i + 2 * window, len(key)))
+
+
+def curve_lists(table: DataFrame, n: int, k: int, alike: float, curves: list[Curve], window: int, windows_a_task: int = 8) -> DataFrame:
+    """(key, nbr, cos): of each curve, the k nearest of every vector in its window and the two beside it. Work a vector: curves * 3 * window."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, raw, u, own, near in windows_of(batches, window):
+            order = np.argsort(key[near])
+            t = np.arange(near.start, near.stop)[order]
+            yield _lists(*nearest(key[own], raw[own], u[own], key[t], raw[t], u[t], k, alike))
+
+    out = None
+    for c in curves:
+        one = along(table, c, n, window, windows_a_task).mapInArrow(compare, _LIST)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def curve_links(table: DataFrame, n: int, alike: float, curves: list[Curve], window: int, windows_a_task: int = 8) -> DataFrame:
+    """(a, b): links that connect all vectors that are alike within a window of a curve and those beside it: a forest, so no more rows than
+    vectors a curve, however many pairs there are."""
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead: np.ndarray | None = None
+        for key, raw, u, own, near in windows_of(batches, window):
+            if lead is None:
+                lead = np.arange(len(key))
+            for x in range(own.start, own.stop, 1024):
+                rows = np.arange(x, min(x + 1024, own.stop))
+                p, q = np.nonzero(u[rows] @ u[own.start : near.stop].T >= alike - EPS)  # the window before did the other half
+                p, q = rows[p], own.start + q
+                ok = p < q
+                p, q = p[ok], q[ok]
+                ok = exact_cosine(raw[p], raw[q]) >= alike if len(p) else np.zeros(0, bool)
+                for i, j in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+                    while lead[i] != i:
+                        lead[i] = i = lead[lead[i]]
+                    while lead[j] != j:
+                        lead[j] = j = lead[lead[j]]
+                    if i != j:
+                        lead[max(i, j)] = min(i, j)
+        if lead is None:
+            return
+        at = np.flatnonzero(lead != np.arange(len(lead)))
+        yield pa.record_batch([pa.array(key[at]), pa.array(key[lead[at]])], names=["a", "b"])
+
+    out = None
+    for c in curves:
+        one = along(table, c, n, window, windows_a_task).mapInArrow(connect, "a bigint, b bigint")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
 def nearest_vectors(
     df: DataFrame,
     key: str,
@@ -166,11 +240,12 @@ def nearest_vectors(
     k: int = 5,
     alike: float = 0.85,
     dims: int = 64,
-    curves: int = 2,
-    window: int = 8192,
+    curves: int = 4,
+    window: int = 2048,
     near: float = 0.89,
     join: float = 0.87,
     exact: bool = True,
+    rest_curves: int = 8,
 ) -> DataFrame:
     """(key, neighbor, cosine): the up to k other vectors of highest cosine, at least `alike`, of every vector; the cosine
     rounded to 9 decimals, ties to the smaller key.
@@ -179,11 +254,14 @@ def nearest_vectors(
     (its smallest bytes). Equal vectors are compared once, and each of them gets the smallest keys of its group. An empty table
     gives no rows; other columns are not read.
 
-    Each curve range-partitions the vectors by their place on it into windows of about `window`; within a window the vectors
-    of a cell are compared, and the curves' lists merged and ranked again. A cell wholly inside a window, with nothing elsewhere in
-    question (exact bounds, see vectors.py), is proven complete. With `exact`, the other cells are completed: their vectors meet
-    the rest of their cell and whatever the bounds leave, in blocks of at most 8,192 by 65,536, so a cell with a third of all rows is
-    spread over many tasks. Without, the windows' lists stand as they are (recall: see README).
+    Each curve range-partitions the vectors by their place on it; every window of `window` vectors meets itself and the windows
+    beside it, whole, and the curves' lists are merged and ranked again. That alone has the recall the README gives.
+
+    With `exact` the lists are then completed where vectors lie in tight cells: the cells' exact bounds (vectors.py) tell which cells may hold
+    a vector alike to another's, and the vectors of a cell meet it, and whatever the bounds leave, in blocks of at most 8,192 by
+    65,536, so a cell with a third of all rows is spread over many tasks. That work is quadratic in a cell. Vectors near no centre are not
+    compared with each other one by one: rest_curves more curves are laid through these alone, which for up to one window and its
+    neighbours is every pair and beyond has the curves' recall.
     """
     table, copies = vector_table(df, key, vector, dims)
     spark = table.sparkSession
@@ -191,124 +269,11 @@ def nearest_vectors(
     if not n:
         return spark.createDataFrame([], f"{key} bigint, neighbor bigint, cosine double")
     every = [Curve(c, dims) for c in range(curves)]
-    centres = _curve_centres(table, n, every[0], near, join)
-    b = bounds(table, centres, near, alike)
-    cells = len(centres)
-    theta = math.acos(alike)
-    reach = np.where(b.size > 0, np.cos(np.minimum(theta + b.radius, math.pi)) - EPS, 2.0).astype(np.float32)
-    shared = spark.sparkContext.broadcast((centres, reach, b.size))
-
-    def along(curve: Curve):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                u = matrix(x.column(1))[1]
-                home, cos = best_centre(u, shared.value[0])
-                home[cos < near] = -1
-                yield pa.record_batch([pa.array(curve(u) if len(u) else np.zeros(0, np.int64)), x.column(0), pa.array(home.astype(np.int32)), x.column(1)], names=["place", "key", "home", "v"])
-
-        return run
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [x for x in batches if x.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).sort_by([("home", "ascending"), ("key", "ascending")])
-        key_, home, (raw, u), size = t["key"].to_numpy(), t["home"].to_numpy(), matrix(t["v"]), shared.value[2]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]])
-        for i, j in zip(cut, cut[1:], strict=False):
-            for x in range(i, j, window):  # a window overfull with one place of the curve is taken in steps
-                s = slice(x, min(j, x + window))
-                yield _lists(*nearest(key_[s], raw[s], u[s], key_[s], raw[s], u[s], k, alike))
-            if home[i] >= 0 and j - i == size[home[i]] and j - i <= window:  # proof: the whole cell was here
-                yield _lists(np.array([-1]), np.array([int(home[i])]), np.array([-9.0]))
-
-    windows = max(1, -(-n // window))
-    lists = None
-    for c in every:
-        one = table.mapInArrow(along(c), "place bigint, key bigint, home int, v binary").repartitionByRange(windows, "place", "key").select("key", "home", "v").mapInArrow(compare, _LIST)
-        lists = one if lists is None else lists.unionByName(one)
-    lists = keep(lists, "window-lists")
-
+    lists = keep(curve_lists(table, n, k, alike, every, window), "window-lists")
     if exact:
-        done = np.zeros(cells + 1, bool)
-        done[[r["nbr"] for r in lists.filter("cos = -9").select("nbr").distinct().collect()]] = True
-        done[:cells] &= ~np.isfinite(b.intruder)  # nothing from elsewhere comes into question
-
-        def strays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Cells some member of which may be alike to a vector of another cell, how many queries come to each cell, and guests to be found there."""
-            c, r, _ = shared.value
-            stray, ask, guest = np.zeros(cells + 1, bool), np.zeros(cells + 1, np.int64), np.zeros(cells + 1, np.int64)
-            for x in batches:
-                u = matrix(x.column(1))[1]
-                home, cos = best_centre(u, c)
-                home[cos < near] = cells
-                guest[cells] += int((home == cells).sum())
-                for rows, to, _ in foreign(u, c, r, near):
-                    stray[home[rows]] = True
-                    ask += np.bincount(to, minlength=cells + 1)
-                    guest += np.bincount(to[home[rows] == cells], minlength=cells + 1)
-            at = np.flatnonzero(stray | (ask > 0) | (guest > 0))
-            yield pa.record_batch([pa.array(at), pa.array(stray[at].astype(np.int64)), pa.array(ask[at]), pa.array(guest[at])], names=["c", "stray", "ask", "guest"])
-
-        got = table.select("key", "v").mapInArrow(strays, "c bigint, stray bigint, ask bigint, guest bigint").groupBy("c").agg(F.sum("stray").alias("stray"), F.sum("ask").alias("ask"), F.sum("guest").alias("guest")).toArrow()
-        asks, targets = np.zeros(cells + 1, np.int64), np.zeros(cells + 1, np.int64)
-        at = got["c"].to_numpy()
-        done[at[got["stray"].to_numpy() > 0]] = False
-        asks[at], targets[at] = got["ask"].to_numpy(), got["guest"].to_numpy()
-        targets[:cells] += b.size
-        asks[:cells] += np.where(done[:cells], 0, b.size)
-        asks[cells] = targets[cells]  # the rest, near no centre, meet each other
-        qb, tb = np.maximum(1, -(-asks // 8192)), np.maximum(1, -(-targets // 65536))
-        plan = spark.sparkContext.broadcast((done, asks > 0, qb, tb))
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (c, r, _), (done_, asked, qb_, tb_) = shared.value, plan.value
-            for x in batches:
-                keys, v = x.column(0).to_numpy(), x.column(1)
-                u = matrix(v)[1]
-                home, cos = best_centre(u, c)
-                home[cos < near] = cells
-                # (row, cell, asks there, is to be found there)
-                own = np.flatnonzero(asked[home])
-                jobs = [(own, home[own], ~done_[home[own]], np.ones(len(own), bool))]
-                jobs += [(rows, to, np.ones(len(rows), bool), home[rows] == cells) for rows, to, _ in foreign(u, c, r, near)]
-                out_r, out_c, out_q, out_t = (np.concatenate([j[i] for j in jobs]) for i in range(4))
-                h = (keys[out_r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                q, t = (h % qb_[out_c].astype(np.uint64)).astype(np.int64), (h // np.uint64(7) % tb_[out_c].astype(np.uint64)).astype(np.int64)
-                base = np.concatenate([[0], np.cumsum(qb_ * tb_)])[out_c]
-                rows_, grid, role = [], [], []
-                for role_, ok, other, own_block in ((1, out_q, tb_[out_c], q), (2, out_t, qb_[out_c], t)):
-                    i = np.flatnonzero(ok)
-                    rep = np.repeat(i, other[i])
-                    o = np.arange(len(rep)) - np.repeat(np.cumsum(other[i]) - other[i], other[i])
-                    rows_.append(out_r[rep])
-                    grid.append(base[rep] + (own_block[rep] * tb_[out_c[rep]] + o if role_ == 1 else o * tb_[out_c[rep]] + own_block[rep]))
-                    role.append(np.full(len(rep), role_))
-                rows_, grid, role = (np.concatenate(z) for z in (rows_, grid, role))
-                # a vector that asks and is found in the same place is sent once
-                code = rows_.astype(np.int64) * (1 << 40) + grid
-                order = np.argsort(code, kind="stable")
-                head = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(order) else order
-                role = np.add.reduceat(role[order], head) if len(order) else role
-                lead = order[head]
-                for i in range(0, len(lead), 20_000):
-                    s = lead[i : i + 20_000]
-                    yield pa.record_batch([pa.array(grid[s]), pa.array(keys[rows_[s]]), pa.array(role[i : i + 20_000].astype(np.int32)), v.take(pa.array(rows_[s]))], names=["grid", "key", "role", "v"])
-
-        def complete(t: pa.Table) -> pa.Table:
-            t = t.sort_by("key")
-            keys, role, (raw, u) = t["key"].to_numpy(), t["role"].to_numpy(), matrix(t["v"])
-            q, f = (role & 1) > 0, (role & 2) > 0
-            if not q.any() or not f.any():
-                return pa.Table.from_batches([_lists(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))])
-            return pa.Table.from_batches([_lists(*nearest(keys[q], raw[q], u[q], keys[f], raw[f], u[f], k, alike))])
-
-        more = table.select("key", "v").mapInArrow(send, "grid bigint, key bigint, role int, v binary").groupBy("grid").applyInArrow(complete, _LIST)
-        lists = lists.filter("cos > -9").unionByName(more)
-    else:
-        lists = lists.filter("cos > -9")
+        lists = lists.unionByName(_completed(table, n, k, alike, every[0], near, join, rest_curves, dims, window))
 
-    # at most k entries of each window and block: bounded for a key
+    # at most k entries of each curve and block: bounded for a key
     merged = lists.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.negative("cos").alias("c"), "nbr"))), 1, k).alias("l"))
     if copies is None:
         out = merged.select("key", F.explode("l").alias("x")).select("key", "x.nbr", F.negative("x.c").alias("cos"))
@@ -324,6 +289,96 @@ def nearest_vectors(
     return out.select(F.col("key").alias(key), F.col("nbr").alias("neighbor"), F.col("cos").alias("cosine"))
 
 
+def _completed(table: DataFrame, n: int, k: int, alike: float, curve: Curve, near: float, join: float, rest_curves: int, dims: int, window: int) -> DataFrame:
+    """(key, nbr, cos): the k nearest of every vector within its own cell and those its bounds leave; for vectors near no centre, along curves of their own."""
+    spark = table.sparkSession
+    centres = _curve_centres(table, n, curve, near, join)
+    b = bounds(table, centres, near, alike)
+    cells = len(centres)
+    theta = math.acos(alike)
+    reach = np.where(b.size > 0, np.cos(np.minimum(theta + b.radius, math.pi)) - EPS, 2.0).astype(np.float32)
+    shared = spark.sparkContext.broadcast((centres, reach))
+
+    def demand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many vectors of elsewhere ask in each cell, and how many of those near no centre are to be found there; at -1 the latter's number."""
+        c, r = shared.value
+        ask, guest, lone = np.zeros(cells, np.int64), np.zeros(cells, np.int64), 0
+        for x in batches:
+            u = matrix(x.column(1))[1]
+            home, cos = best_centre(u, c)
+            far = cos < near
+            lone += int(far.sum())
+            for rows, to, _ in foreign(u, c, r, near):
+                ask += np.bincount(to, minlength=cells)
+                guest += np.bincount(to[far[rows]], minlength=cells)
+        at = np.flatnonzero(ask)
+        yield pa.record_batch([pa.array([*at, -1], pa.int64()), pa.array([*ask[at], lone], pa.int64()), pa.array([*guest[at], 0], pa.int64())], names=["c", "ask", "guest"])
+
+    got = table.select("key", "v").mapInArrow(demand, "c bigint, ask bigint, guest bigint").groupBy("c").agg(F.sum("ask").alias("ask"), F.sum("guest").alias("guest")).toArrow()
+    at, more = got["c"].to_numpy(), got["ask"].to_numpy()
+    lone = int(more[at < 0].sum())
+    asks, targets = b.size.copy(), b.size.copy()
+    asks[at[at >= 0]] += more[at >= 0]
+    targets[at[at >= 0]] += got["guest"].to_numpy()[at >= 0]
+    qb, tb = np.maximum(1, -(-asks // 8192)), np.maximum(1, -(-targets // 65536))
+    plan = spark.sparkContext.broadcast((qb, tb))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (c, r), (qb_, tb_) = shared.value, plan.value
+        base = np.concatenate([[0], np.cumsum(qb_ * tb_)])
+        for x in batches:
+            keys, v = x.column(0).to_numpy(), x.column(1)
+            u = matrix(v)[1]
+            home, cos = best_centre(u, c)
+            far = cos < near
+            # (row, cell, is to be found there); all of them ask
+            own = np.flatnonzero(~far)
+            jobs = [(own, home[own], np.ones(len(own), bool))]
+            jobs += [(rows, to, far[rows]) for rows, to, _ in foreign(u, c, r, near)]
+            out_r, out_c, out_t = (np.concatenate([j[i] for j in jobs]) for i in range(3))
+            h = (keys[out_r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            q, t = (h % qb_[out_c].astype(np.uint64)).astype(np.int64), (h // np.uint64(7) % tb_[out_c].astype(np.uint64)).astype(np.int64)
+            rows_, grid, role = [], [], []
+            for role_, ok, other, own_block in ((1, np.ones(len(out_r), bool), tb_[out_c], q), (2, out_t, qb_[out_c], t)):
+                i = np.flatnonzero(ok)
+                rep = np.repeat(i, other[i])
+                o = np.arange(len(rep)) - np.repeat(np.cumsum(other[i]) - other[i], other[i])
+                rows_.append(out_r[rep])
+                grid.append(base[out_c[rep]] + (own_block[rep] * tb_[out_c[rep]] + o if role_ == 1 else o * tb_[out_c[rep]] + own_block[rep]))
+                role.append(np.full(len(rep), role_))
+            rows_, grid, role = (np.concatenate(z) for z in (rows_, grid, role))
+            # a vector that asks and is found in the same place is sent once
+            code = rows_.astype(np.int64) * (1 << 40) + grid
+            order = np.argsort(code, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(order) else order
+            role = np.add.reduceat(role[order], head) if len(order) else role
+            lead = order[head]
+            for i in range(0, len(lead), 20_000):
+                s = lead[i : i + 20_000]
+                yield pa.record_batch([pa.array(grid[s]), pa.array(keys[rows_[s]]), pa.array(role[i : i + 20_000].astype(np.int32)), v.take(pa.array(rows_[s]))], names=["grid", "key", "role", "v"])
+
+    def complete(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key")
+        keys, role, (raw, u) = t["key"].to_numpy(), t["role"].to_numpy(), matrix(t["v"])
+        q, f = (role & 1) > 0, (role & 2) > 0
+        if not q.any() or not f.any():
+            return pa.Table.from_batches([_lists(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))])
+        return pa.Table.from_batches([_lists(*nearest(keys[q], raw[q], u[q], keys[f], raw[f], u[f], k, alike))])
+
+    out = table.select("key", "v").mapInArrow(send, "grid bigint, key bigint, role int, v binary").groupBy("grid").applyInArrow(complete, _LIST)
+    if not lone:
+        return out
+
+    def near_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = np.flatnonzero(best_centre(matrix(x.column(1))[1], shared.value[0])[1] < near)
+            yield x.take(pa.array(ok))
+
+    rest = keep(table.select("key", "v").mapInArrow(near_none, "key bigint, v binary"), "rest")
+    laid = [Curve(100 + c, dims) for c in range(rest_curves if lone > 2 * window else 1)]  # two windows are beside each other on any curve
+    return out.unionByName(curve_lists(rest, lone, k, alike, laid, window))
+
+
 def mutual_pairs(neighbours: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(a, b), a < b: pairs of which at least one is a neighbor of the other."""
     return neighbours.select(F.least(key, "neighbor").alias(a), F.greatest(key, "neighbor").alias(b)).distinct()

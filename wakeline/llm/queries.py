@@ -15,16 +15,24 @@ from wakeline.storage import keep
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return similar_clusters.clusters(table(spark, sf, "global_memory"), "thought_id", "embedding")
 
 
-def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _clusters(spark, sf).select("cluster_key", "thought_id")
+def _described(members: DataFrame, d: DataFrame) -> DataFrame:
+    got = similar_clusters.describe(members, d, "thought_id", "pattern_description")
+    return got.select("cluster_key", "size", *[F.try_element_at("typical", F.lit(i)).alias(f"typical_{i}") for i in (1, 2, 3)])
 
 
 def p1_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return similar_clusters.describe(keep(_clusters(spark, sf), "members"), table(spark, sf, "global_memory"), "thought_id", "pattern_description")
+    d = table(spark, sf, "global_memory")
+    return _described(keep(similar_clusters.member_cosines(keep(p1_found(spark, sf), "members"), d, "thought_id", "embedding"), "member-cosines"), d)
+
+
+def p1_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters by the words of pattern_description, as hashed weighted features, with their most typical descriptions."""
+    d = table(spark, sf, "global_memory")
+    return _described(keep(similar_clusters.text_clusters(d, "thought_id", "pattern_description"), "topics"), d)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +107,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_clusters, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbors, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
+    found = [p1_found, p1_clusters, p1_topics, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbors, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 
@@ -108,8 +116,9 @@ _USABLE = """g AS (SELECT DISTINCT ON (thought_id) thought_id AS id, list_transf
 u AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM g),
 s AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) / (a.n * b.n) AS c FROM u a JOIN u b ON a.id <> b.id WHERE list_inner_product(a.v, b.v) >= 0.85 * a.n * b.n)"""
 
-_TERMS = r"""g AS (SELECT thought_id, unnest(keywords) AS k FROM global_memory WHERE thought_id IS NOT NULL),
-n AS (SELECT thought_id, trim(regexp_replace(translate(lower(k), '_-', '  '), '[\s\pZ\x{85}\x{1C}-\x{1F}\x{0B}]+', ' ', 'g')) AS term FROM g),
+_TERMS = r"""g AS (SELECT thought_id, row_number() OVER () AS r, unnest(keywords) AS k FROM global_memory WHERE thought_id IS NOT NULL),
+n AS (SELECT thought_id, r, trim(regexp_replace(translate(lower(k), '_-', '  '), '[\s\pZ\x{85}\x{1C}-\x{1F}\x{0B}]+', ' ', 'g')) AS term FROM g),
+o AS (SELECT term, sum(n)::BIGINT AS occurrences FROM (SELECT thought_id, term, max(n) AS n FROM (SELECT thought_id, r, term, count(*) AS n FROM n WHERE term <> '' GROUP BY ALL) GROUP BY ALL) GROUP BY 1),
 t AS (SELECT DISTINCT thought_id, term FROM n WHERE term <> ''), c AS (SELECT term, count(*) AS records FROM t GROUP BY 1),
 b AS (SELECT term, records, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.05 * (SELECT count(DISTINCT thought_id) FROM t) THEN 'common' ELSE 'useful' END AS band FROM c)"""
 
@@ -131,7 +140,12 @@ def oracle_sql() -> dict[str, str]:
     tested against plain versions on fixtures."""
     return {
         "p1_found": f"WITH {_USABLE} SELECT least(a, min(b)) AS cluster_key, a AS thought_id FROM s GROUP BY a",
+        "p1_clusters": f"""WITH {_USABLE}, c AS (SELECT least(a, min(b)) AS k, a AS id FROM s GROUP BY a), d AS (SELECT k, id, unnest(list_transform(v, lambda x: x / n)) AS x, generate_subscripts(v, 1) AS i FROM c JOIN u USING (id)),
+m AS (SELECT k, list(x ORDER BY i) AS m FROM (SELECT k, i, sum(x) AS x FROM d GROUP BY ALL) GROUP BY k), o AS (SELECT c.k, c.id, row_number() OVER (PARTITION BY c.k ORDER BY round(list_inner_product(u.v, m.m) / (u.n * sqrt(list_inner_product(m.m, m.m))), 9) DESC, c.id) AS r FROM c JOIN u USING (id) JOIN m USING (k)),
+t AS (SELECT thought_id AS id, min(pattern_description) AS t FROM global_memory GROUP BY 1)
+SELECT k AS cluster_key, count(*) AS size, max(CASE WHEN r = 1 THEN t END) AS typical_1, max(CASE WHEN r = 2 THEN t END) AS typical_2, max(CASE WHEN r = 3 THEN t END) AS typical_3 FROM o JOIN t USING (id) GROUP BY k""",
         "p2_found": f"WITH {_TERMS} SELECT term, band FROM b WHERE band <> 'useful'",
+        "p2_terms": f"WITH {_TERMS} SELECT b.term, b.records, o.occurrences, b.band FROM b JOIN o USING (term)",
         "p3_found": r"""WITH g AS (SELECT DISTINCT ON (thought_id) thought_id AS id, concat_ws(' ', behavior_explanation, pattern_description) AS t FROM global_memory WHERE thought_id IS NOT NULL),
 w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM g), n AS (SELECT id, count(*) AS n FROM w GROUP BY 1),
 o AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY ALL)

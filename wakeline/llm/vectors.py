@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.text import words
 from wakeline.storage import keep
 
 #: added to bounds that are tested in single precision
@@ -31,31 +32,48 @@ def hashed_slots(n: int, buckets: int, seed: int = 1) -> tuple[np.ndarray, np.nd
     return bucket.astype(np.int64), sign
 
 
-def hashed_texts(df: DataFrame, key: str, text: str, buckets: int = 64) -> DataFrame:
-    """(key, vector array<float>): words as hashed features weighted by 1 + ln of their count, unit length; null for no words."""
-    from wakeline.llm.text import words
+def hashed_texts(df: DataFrame, key: str, text: str, buckets: int = 256, table_size: int = 1 << 18) -> DataFrame:
+    """(key, vector array<float>): words as hashed, signed features weighted by (1 + ln of their count) * ln((1 + n) / (1 + rows that hold
+    the word)), unit length; null where no word weighs anything. Rows are counted exactly, in a table of fixed size by word hash."""
+
+    def hashes(t: str | None) -> tuple[np.ndarray, np.ndarray]:
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words(t)], np.uint64)
+        return np.unique(h, return_counts=True) if len(h) else (h, np.zeros(0, np.int64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows = np.zeros(table_size, np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            for t in b.column(0).to_pylist():
+                n[(hashes(t)[0] % np.uint64(table_size)).astype(np.int64)] += 1
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], names=["c", "n"])
+
+    src = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("t"))
+    got = src.select("t").mapInArrow(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    c, n = got["c"].to_numpy(), got["n"].to_numpy()
+    weight = np.zeros(table_size)
+    weight[c[c >= 0]] = n[c >= 0]
+    shared = df.sparkSession.sparkContext.broadcast(np.log((1 + n[c < 0].sum()) / (1 + weight)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                v: dict[str, int] = {}
-                for w in words(t):
-                    v[w] = v.get(w, 0) + 1
-                x = np.zeros(buckets, np.float32)
-                for w, n in v.items():
-                    h = xxhash.xxh32_intdigest(w)
-                    x[h % buckets] += (1 + math.log(n)) * (1 if h >> 31 else -1)
-                n = float(np.linalg.norm(x))
-                out.append((x / n).tolist() if n else None)
+                h, k = hashes(t)
+                x = np.zeros(buckets)
+                if len(h):
+                    w = (1 + np.log(k)) * shared.value[(h % np.uint64(table_size)).astype(np.int64)]
+                    np.add.at(x, ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), w * np.where(h >> np.uint64(63), 1, -1))
+                norm = float(np.linalg.norm(x))
+                out.append((x / norm).astype(np.float32) if norm > 1e-9 else None)
             yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=["key", "vector"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t")).mapInArrow(run, "key bigint, vector array<float>").withColumnRenamed("key", key)
+    return src.mapInArrow(run, "key bigint, vector array<float>").withColumnRenamed("key", key)
 
 
-def vector_table(df: DataFrame, key: str, vector: str, dims: int, buckets: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(vectors, copies). vectors (key bigint, v binary): usable vectors (dims finite numbers, not all zero), each key once,
-    equal vectors once under their smallest key. copies (key, rep): the members of groups of equal vectors, or None.
+def usable_vectors(df: DataFrame, key: str, vector: str, dims: int, buckets: int | None = None) -> DataFrame:
+    """(key bigint, h binary, v binary): usable vectors (dims finite numbers, not all zero), each key once, with a digest.
 
     A key sent again counts once, with its smallest bytes. With `buckets`, dimensions are put in hashed slots.
     """
@@ -80,8 +98,13 @@ def vector_table(df: DataFrame, key: str, vector: str, dims: int, buckets: int |
             yield pa.record_batch([b.column(0).take(pa.array(at)), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["key", "h", "v"])
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("v")).filter("key is not null and v is not null")
-    one = rows.mapInArrow(encode, "key bigint, h binary, v binary").groupBy("key").agg(F.min(F.struct("h", "v")).alias("m")).select("key", "m.h", "m.v")
-    one = keep(one, "vectors")
+    return rows.mapInArrow(encode, "key bigint, h binary, v binary").groupBy("key").agg(F.min(F.struct("h", "v")).alias("m")).select("key", "m.h", "m.v")
+
+
+def vector_table(df: DataFrame, key: str, vector: str, dims: int, buckets: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(vectors, copies). vectors (key bigint, v binary): usable vectors, equal ones once under their smallest key. copies (key, rep): the
+    members of groups of equal vectors, or None."""
+    one = keep(usable_vectors(df, key, vector, dims, buckets), "vectors")
     twice = keep(one.groupBy("h").agg(F.min("key").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("h", "rep"), "equal-vectors")
     if not twice.limit(1).count():
         return one.select("key", "v"), None
