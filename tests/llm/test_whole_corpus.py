@@ -34,3 +34,21 @@ def test_large_classes_give_all_pairs(spark):
     got = {(x["a"], x["b"]) for x in near_duplicates.similar_pairs(*near_duplicates.similar_classes(d, "id", ["a"], 0.6)).collect()}
     ids = [*range(65), 100]
     assert got == {(x, y) for x in ids for y in ids if x < y}
+
+
+def test_blocks_are_bounded_at_any_size():
+    for rows in (0, 10_000, 400_000, 10**7, 10**9):
+        n = near_duplicates._blocks(rows, 36.0, 24_000, 480_000)
+        assert rows * min(36, n) / n <= 500_000
+
+
+def test_words_spread_over_blocks_lose_no_pair(spark):
+    r = random.Random(11)
+    common, names = [f"c{i}" for i in range(40)], [f"n{i}" for i in range(400)]
+    rows = [set(r.sample(common, 18)) | set(r.sample(names, 6)) for _ in range(300)]
+    rows += [set(r.sample(sorted(x), 20)) | {r.choice(names)} for x in r.sample(rows, 200)]
+    d = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(rows)], "id bigint, a string")
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(rows[i] & rows[j]) >= 0.6 * len(rows[i] | rows[j]) - 1e-9}
+    for word, task in ((50_000, 480_000), (20, 200)):
+        got = near_duplicates.similar_pairs(*near_duplicates.similar_classes(d, "id", ["a"], 0.6, rows_per_block=50, rows_per_word=word, rows_per_task=task)).collect()
+        assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want)

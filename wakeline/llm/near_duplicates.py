@@ -5,7 +5,7 @@ shares one in the rare ends of both rows, two in ends one word longer, three in
 taken over the ends alone, block by block of words. Within a block, a word held by few rows is multiplied out at
 once; one held by many is first narrowed to rows that share a second, third ... word (counts accumulate before any pair
 is made), as words that come together, such as those of a title, tell no more than one. Pairs that the sizes or the words missing from 256-bit row sketches rule out are
-discarded; what is left is counted over the whole rows.
+discarded; for those left the overlap is accumulated over the whole rows, all pairs of a batch in one sorted product.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ class _Block:
         self.index = n - _up(2 * t / (1 + t) * n)
         self.found: list[np.ndarray] = []
         self.heavy: list[tuple] = []
-        self.need = _up(t / (1 + t) * np.arange(4096)).astype(np.int16)  # by the sum of two rows' sizes
+        self.need = _up(t / (1 + t) * np.arange(4096)).astype(np.int32)  # by the sum of two rows' sizes
 
     def entries(self, wanted) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(word key, row, position in its whole sorted row) of the words in the ends of level 1 for which wanted(word, key) holds, some rows at a time."""
@@ -203,13 +203,13 @@ class _Block:
             i0 = i1
             size_a = n_l.take(a)
             need = self.need.take(size_a + size_b) if len(self.need) > 2 * int(self.n.max()) else _up(self.t / (1 + self.t) * (size_a + size_b))
-            room = (size_a - need).astype(np.int16)  # words of the smaller row that may be missing from the larger one
-            miss = np.bitwise_count(sig_l[0].take(a) & ~sig_r[0].take(b)).astype(np.int16)
+            room = (size_a - need).astype(np.int32)  # words of the smaller row that may be missing from the larger one
+            miss = np.bitwise_count(sig_l[0].take(a) & ~sig_r[0].take(b)).astype(np.int32)
             for w in range(1, 4):  # a word of the sketches at a time, over what is left
                 miss += np.bitwise_count(sig_l[w].take(a) & ~sig_r[w].take(b))
                 ok = np.flatnonzero(miss <= room)
                 a, b, need, room, miss = a.take(ok), b.take(ok), need.take(ok), room.take(ok), miss.take(ok)
-            miss = sum(np.bitwise_count(sig_r[w][b] & ~sig_l[w][a]).astype(np.int16) for w in range(4))
+            miss = sum(np.bitwise_count(sig_r[w][b] & ~sig_l[w][a]).astype(np.int32) for w in range(4))
             ok = n_r[b] - miss >= need
             a, b = left[a[ok]], right[b[ok]]
             ok = a != b
@@ -225,13 +225,30 @@ class _Block:
         return np.minimum(x, y), np.maximum(x, y)
 
 
-def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float = 0.6, rows_per_block: int = 24_000) -> tuple[DataFrame, DataFrame]:
+def _blocks(rows: int, copies: float, rows_per_block: int, rows_per_task: int) -> int:
+    """Number of blocks: a row's end is sent to as many blocks as it has keys (`copies`), or to all, and no task is to get over rows_per_task."""
+    few = max(8, -(-rows // rows_per_block))
+    return few if rows <= rows_per_task else max(few, math.ceil(rows * copies / rows_per_task))
+
+
+def _shared_words(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(overlap, words left, words right) of each pair of word sets: one product over the batch, whose entries are (pair, word), sorted; a word of both
+    sides stands twice in a row."""
+    n_l, n_r = (np.array([len(x) // 4 for x in side], np.int64) for side in (left, right))
+    pair = np.concatenate([np.repeat(np.arange(len(left), dtype=np.uint64), n_l), np.repeat(np.arange(len(left), dtype=np.uint64), n_r)])
+    code = np.sort(pair << np.uint64(32) | np.frombuffer(b"".join([*left, *right]), np.uint32))
+    both = code[1:][code[1:] == code[:-1]] >> np.uint64(32)
+    return np.bincount(both.astype(np.int64), minlength=len(left)), n_l, n_r
+
+
+def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float = 0.6, rows_per_block: int = 24_000, rows_per_task: int = 480_000, rows_per_word: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(classes, links). classes (key, rep, n): every record's class of equal word sets, named by its smallest key, and the
     set's size. links (rep_a, rep_b, shared, similarity): pairs of classes, rep_a < rep_b, whose Jaccard similarity over
     the words of the text columns is at least threshold (over 0.5). Every such pair comes out, at any size of the data.
 
     Null texts are empty; records without any word are in no class; null keys are left out; a key sent again counts once
-    per different text. Repeated rows and groups of equal texts are one row of the product, however many. Words are told
+    per different text. No task gets over about rows_per_task rows' ends, and a word of over rows_per_word rows is spread over
+    blocks by the words that follow it in the rows' ends, at any size of the data. Repeated rows and groups of equal texts are one row of the product, however many. Words are told
     apart by 32-bit hashes: that two of a pair's words coincide, which shifts its count by one, has a chance of about 1e-6.
     """
     if not 0.5 < threshold <= 1:
@@ -266,9 +283,9 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
 
     counts = rarity(reps)
     shared = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
-    many = reps.count()
-    blocks = max(8, -(-many // rows_per_block))
-    heavy = max(10_000, many // 8)  # words of so many rows are split over blocks by their second word
+    stock = reps.agg(F.count("*").alias("n"), F.avg("n").alias("words")).first()
+    blocks = _blocks(stock["n"], (1 - t) * (stock["words"] or 0) + 1, rows_per_block, rows_per_task)
+    heavy = rows_per_word
 
     def own(k: np.ndarray) -> np.ndarray:
         return ((k >> np.uint64(17)) % np.uint64(blocks)).astype(np.int64)
@@ -349,14 +366,11 @@ def similar_classes(df: DataFrame, key: str, texts: list[str], threshold: float
     def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c, ta, tb = (b.column(i).to_pylist() for i in range(4))
-            out = []
-            for x, y, p, q in zip(a, c, ta, tb, strict=True):
-                p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                k = len(np.intersect1d(p, q))
-                if k >= t * (len(p) + len(q) - k) - 1e-9:
-                    out.append((x, y, k, k / (len(p) + len(q) - k)))
-            cols = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.record_batch([pa.array(v, ty) for v, ty in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["rep_a", "rep_b", "shared", "similarity"])
+            k, n_a, n_b = _shared_words(ta, tb)
+            union = n_a + n_b - k
+            ok = np.flatnonzero(k >= t * union - 1e-9)
+            k, union, a, c = k[ok], union[ok], np.array(a, np.int64)[ok], np.array(c, np.int64)[ok]
+            yield pa.record_batch([pa.array(a), pa.array(c), pa.array(k.astype(np.int32)), pa.array(k / np.maximum(union, 1))], names=["rep_a", "rep_b", "shared", "similarity"])
 
     ids = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
     used = reps.select("rep", "toks").join(ids, "rep", "left_semi")
