@@ -160,9 +160,64 @@ CASES = {
 def test_pairs(spark):
     cases = [(d, a) for d, xs in CASES.items() for a in xs]
     rows = [(i, PROMPT, a, "") for i, (_, a) in enumerate(cases)] + [(900 + i, PROMPT, GOOD, "") for i in range(40)] + [(2000, None, GOOD, ""), (None, PROMPT, "", ""), (0, PROMPT, None, ""), (2001, PROMPT, "Each harbor is bought on a Monday. " * 3000, "")]
-    got = {x["id"]: x["defect"] for x in pairs.broken_pairs(spark.createDataFrame(rows, "id bigint, p string, a string, defect string"), "id", "p", "a").collect()}
+    labelled = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {x["id"]: x["defect"] for x in pairs.broken_pairs(spark.createDataFrame(rows, "id bigint, p string, a string, defect string"), "id", "p", "a", labelled).collect()}
     assert got == {i: d for i, (d, _) in enumerate(cases) if d}
-    assert pairs.broken_pairs(spark.createDataFrame([], "id bigint, p string, a string"), "id", "p", "a").count() == 0
+    for given in (labelled, labelled.limit(0), None):
+        assert pairs.broken_pairs(spark.createDataFrame([], "id bigint, p string, a string"), "id", "p", "a", given).count() == 0
+
+
+REFUSALS = [
+    "Dat kan ik helaas niet voor je doen.",
+    "Het spijt me, maar ik kan deze vraag niet beantwoorden.",
+    "Mi dispiace, ma non posso rispondere a questa domanda.",
+    "Non sono in grado di aiutarti con questa richiesta.",
+    "很抱歉，我无法回答这个问题。",
+    "I'd prefer not to answer that.",
+    "That is not something I can help with.",
+    "This request is outside what I can discuss.",
+    "I won't be answering this one.",
+    "Nie mogę odpowiedzieć na to pytanie.",
+    "Bu soruyu yanıtlayamam.",
+    "Eso no puedo hacerlo.",
+    "Je refuse de répondre.",
+    "Ich kann diese Frage leider nicht beantworten.",
+    "Não posso ajudar com esse pedido.",
+    "К сожалению, я не могу ответить на этот вопрос.",
+]
+ANSWERS = [
+    "The reader cannot decide between jazz and folk.",
+    "I bought this for my sister, who does not like horror.",
+    "We see no change of taste in these items.",
+    "The buyer will not return to crime; instead drama wins.",
+    "Sorry Tailor opens the list and then folk follows.",
+    "Nothing in the list is repeated, and the taste moves on.",
+    "Der Käufer kann sich nicht entscheiden.",
+]
+
+
+def test_refusals_nobody_planted():
+    assert [a for a in REFUSALS if not pairs.is_refusal(a)] == []
+    assert [a for a in ANSWERS if pairs.is_refusal(a)] == []
+
+
+def test_languages_the_sample_does_not_hold():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    m = pairs.train_languages([(x["lang"].strip().lower()[:2], x["text"]) for x in rows if x["lang"] and x["text"]], [])
+    said = "Say in one or two sentences how the preference of the reader develops and what the list shows."
+    other = [
+        "De gebruiker koopt eerst een roman en gaat daarna over op andere boeken uit dezelfde reeks.",
+        "Användaren köper först en roman och går sedan vidare till andra böcker.",
+        "Użytkownik najpierw kupuje powieść, a potem przechodzi do innych książek.",
+        "Kullanıcı önce bir roman alıyor, sonra başka kitaplara geçiyor.",
+        "Ο χρήστης αγοράζει πρώτα ένα μυθιστόρημα.",
+        "Il lettore compra prima un romanzo e poi passa ad altri libri della stessa serie.",
+    ]
+    assert [a for a in other if not m.other(said, a)] == []
+    assert not m.other(said, "The reader first buys a novel and then moves on to other books of the same series.")
+    assert not pairs.Languages({}).other(said, other[0]) and pairs.Languages({}).other(said, other[4])
 
 
 def test_tiles_take_the_longest_first():

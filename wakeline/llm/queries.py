@@ -66,7 +66,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     calls = table(spark, sf, "call_stat").filter("call_type = 'behavior_extraction'").groupBy("thought_id").agg(F.min("prompt").alias("prompt"))
     memories = table(spark, sf, "global_memory").groupBy("thought_id").agg(F.min("behavior_explanation").alias("answer"))
-    return pairs.broken_pairs(memories.join(calls, "thought_id", "left"), "thought_id", "prompt", "answer")
+    return pairs.broken_pairs(memories.join(calls, "thought_id", "left"), "thought_id", "prompt", "answer", table(spark, sf, "documents"))
 
 
 def _accepted(spark: SparkSession, sf: str) -> DataFrame:
