@@ -60,6 +60,16 @@ def test_sequences_against_enumeration(spark, per_task):
     assert sequences.frequent_sequences(d.limit(0), "u", "w", "s").count() == 0
 
 
+def test_states_of_few_entities_take_no_bit_vector():
+    import pyarrow as pa
+
+    rows = [(f"u{i:03}", s) for i in range(100) for s in ("A", f"own{i}")]
+    batch = pa.record_batch([pa.array([u for u, _ in rows]), pa.array([s for _, s in rows])], names=["entity", "state"])
+    maps, starts = sequences._bitmaps([batch], 3, lambda n: n // 50, None)
+    assert set(maps) == {"A"} and len(starts) == 100
+    assert set(sequences._bitmaps([batch], 3, lambda n: 1, {"own7"})[0]) == {"own7"}
+
+
 def test_myers_against_dynamic_programming():
     r = random.Random(6)
     for _ in range(200):
@@ -91,13 +101,49 @@ def test_leaks(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, eval_id int")
     e = spark.createDataFrame([(k, ", ".join(v)) for k, v in items.items()] + [(9, "short one"), (10, None), (None, "x")], "eval_id bigint, passage string")
     want = {(k, i) for (k, v), (i, w) in product([*docs.items(), (79, words(rows[-1][1]))], items.items()) if any(" ".join(w[a : a + 13]) in " ".join(v) for a in range(18))}
-    for turns in (20_000, 2):
-        got = leakage.leaked_items(d, e, items_at_once=turns).collect()
+    both = [sorted(map(tuple, leakage.leaked_items(d, e, automaton_items=n).collect())) for n in (20_000, 2)]
+    assert both[0] == both[1]  # by automaton, and by a join on pieces
+    for n in (20_000, 2):
+        got = leakage.leaked_items(d, e, automaton_items=n).collect()
         assert {(x["doc_id"], x["eval_id"]) for x in got if x["distance"] == 0} == want
         assert {(x["doc_id"], x["eval_id"], x["distance"]) for x in got if x["distance"]} == {(5, 4, 1)} | {(x["doc_id"], x["eval_id"], 1) for x in got if x["doc_id"] == 2}
     assert leakage.leaked_items(d.limit(0), e).count() == 0 and leakage.leaked_items(d, e.limit(0)).count() == 0
 
 
+def test_planted_edits_are_found_at_their_distance(spark):
+    """Passages with a word changed, dropped or put in, against every stretch of every document by dynamic programming."""
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(200)]
+    items = {i: [r.choice(vocab) for _ in range(16)] for i in range(20)}
+    docs = {}
+    for d in range(60):
+        w = list(items[d % 20][:13] if d % 3 else items[d % 20])
+        for _ in range(d % 4):
+            at = r.randrange(1, len(w) - 1)
+            w[at : at + r.choice([0, 1])] = r.choice([[], ["new"]])
+        docs[d] = [r.choice(vocab) for _ in range(10)] + w + [r.choice(vocab) for _ in range(10)]
+
+    def least(p, t):
+        row, best = list(range(len(p) + 1)), len(p)
+        for c in t:
+            new = [0]
+            for i, x in enumerate(p):
+                new.append(min(row[i] + (x != c), row[i + 1] + 1, new[i] + 1))
+            row, best = new, min(best, new[-1])
+        return best
+
+    want = {}
+    for d, t in docs.items():
+        for i, w in items.items():
+            ds = [least(w[a : a + 13], t) for a in range(4)]
+            if min(ds) <= 1:
+                want[d, i] = (min(ds), sum(x <= 1 for x in ds))
+    ds, es = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "eval_id bigint, passage string")
+    for n in (20_000, 2):
+        got = {(x["doc_id"], x["eval_id"]): (x["distance"], x["spans"]) for x in leakage.leaked_items(ds, es, automaton_items=n).collect()}
+        assert got == want and {v[0] for v in got.values()} == {0, 1}
+
+
 def test_water_filling():
     have, share, most = {"a": 100, "b": 10, "c": 0}, {"a": 0.5, "b": 0.4, "c": 0.1}, {"a": 2, "b": 3, "c": 5}
     e = mixing.water_fill(have, share, most, 100)
@@ -120,6 +166,9 @@ def test_mix_reaches_shares_and_caps(spark):
     assert {s: sum(x["tokens"] * x["copies"] for x in m if x["source"] == s) for s in got} == {s: x["used_tokens"] for s, x in got.items()}
     capped = {x["source"]: x for x in mixing.mix(d, t, total_tokens=1e9)[1].collect()}
     assert capped["a_x"]["epochs"] == 1 and capped["b"]["epochs"] == 3
+    part = {x["source"]: x for x in mixing.mix(d, t, share_of_caps=0.9)[1].collect()}
+    all_ = sum(x["max_repeats"] * x["tokens"] for x in part.values())
+    assert max(x["epochs"] / x["max_repeats"] for x in part.values()) == 1 and abs(sum(x["used_tokens"] for x in part.values()) - 0.9 * all_) < 200
     assert mixing.mix(d.limit(0), t)[0].count() == 0 and mixing.mix(d, t.limit(0))[1].count() == 0
 
 

@@ -52,3 +52,30 @@ def test_words_spread_over_blocks_lose_no_pair(spark):
     for word, task in ((50_000, 480_000), (20, 200)):
         got = near_duplicates.similar_pairs(*near_duplicates.similar_classes(d, "id", ["a"], 0.6, rows_per_block=50, rows_per_word=word, rows_per_task=task)).collect()
         assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want)
+
+
+def _garble(text, written, read):
+    return text.encode(written).decode(read, errors="replace")
+
+
+def test_garbled_texts_are_restored_as_they_were(spark):
+    """Texts of the corpus that are clean, garbled by the test: what is found and how much comes back word for word."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bad = {x["doc_id"] for x in encoding.garbled(d).select("doc_id").collect()}
+    clean = {x["doc_id"]: x["text"] for x in d.collect() if x["doc_id"] not in bad and x["text"] and not x["text"].isascii()}
+    ways = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp850")]
+    picked = sorted(clean)[::20]
+    rows = [(i, _garble(t, *ways[i % 4]) if i in picked else t) for i, t in clean.items()]
+    got = {x["doc_id"]: x["restored"] for x in encoding.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == set(picked)
+    whole = [i for i in picked if encoding.LOST not in dict(rows)[i]]
+    assert len(whole) > 20 and sum(got[i] == clean[i] for i in whole) >= 0.97 * len(whole)
+    lost = [i for i in picked if i not in whole]
+    same = [(a == b) for i in lost for a, b in zip(got[i].split(" "), clean[i].split(" "), strict=False)]
+    assert not lost or sum(same) >= 0.9 * len(same)
+
+
+def test_exact_search_finds_no_better_reading_missed(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some, every = (sorted(map(tuple, encoding.garbled(d, **k).collect())) for k in ({}, {"beam": None, "readings": (None, None)}))
+    assert [x[0] for x in some] == [x[0] for x in every] and sum(a == b for a, b in zip(some, every, strict=True)) >= 0.95 * len(some)

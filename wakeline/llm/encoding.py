@@ -3,7 +3,8 @@
 A channel is a pair (written, read): bytes of a text written in one encoding were read in another. A token with
 characters outside ASCII is turned back into the bytes each channel allows, a lost byte being a wildcard; a Viterbi
 search finds the best reading of that lattice under character-pair counts of the corpus, corpus word frequencies rank
-what it finds, and a reading replaces the token where it beats the token itself by more than the channel's cost.
+what it finds, and a reading replaces the token where it beats the token itself by more than the channel's cost. A token is decoded once
+for the whole corpus, and a text put together once for all its copies.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.storage import keep
+
 #: encodings that texts in Western and Cyrillic scripts are read in by mistake: fixed values
 READ = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866", "iso8859-5", "iso8859-15", "cp1250")
 #: single-byte encodings that such texts are written in: fixed values
@@ -39,10 +42,6 @@ def core(token: str) -> str:
     return re.sub(r"\d", "0", token.strip(_EDGE).lower())
 
 
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text)
-
-
 class Model:
     """Corpus counts in tables of fixed size: words, character pairs, characters (of tokens with a character outside ASCII)."""
 
@@ -100,10 +99,10 @@ def lattice(token: str, read: str) -> list[int | None] | None:
     return out
 
 
-def viterbi(bytes_: list[int | None], written: str, model: Model, alphabet: list[tuple[str, bytes]], beam: int = 24) -> list[tuple[float, str]]:
+def viterbi(bytes_: list[int | None], written: str, model: Model, alphabet: list[tuple[str, bytes]], beam: int | None = 24) -> list[tuple[float, str]]:
     """Best readings of the lattice as text in `written`, by character pairs: [(score, text)].
 
-    Only for UTF-8 may a sequence's last bytes be missing before an ASCII byte or the end (blanks and control characters
+    beam: how many states a column goes on with; None for all, which makes the search exact. Only for UTF-8 may a sequence's last bytes be missing before an ASCII byte or the end (blanks and control characters
     that were dropped): they are wildcards too.
     """
     n = len(bytes_)
@@ -117,7 +116,7 @@ def viterbi(bytes_: list[int | None], written: str, model: Model, alphabet: list
 
     for i in range(n):
         col = columns[i]
-        if len(col) > beam:
+        if beam is not None and len(col) > beam:
             col = dict(sorted(col.items(), key=lambda x: -x[1][0])[:beam])
         if not col:
             continue
@@ -173,14 +172,16 @@ def whole_utf8(token: str) -> frozenset[str]:
 
 
 class Decoder:
-    def __init__(self, model: Model, margin: float = 4.0):
-        self.model, self.margin = model, margin
-        wide = [c for c in model.chars if ord(c) > 127 and c != LOST and model.chars[c] >= max(2, model.total * 1e-6)]
+    """Decodes tokens. beam: states of a Viterbi column that go on; readings: how many of a lattice's best readings in UTF-8, and in a single-byte
+    encoding, are ranked by word frequencies; least_seen: how often a character must occur to stand for lost bytes. beam None, readings (None, None) and
+    least_seen 1 leave nothing out."""
+
+    def __init__(self, model: Model, margin: float = 4.0, beam: int | None = 24, readings: tuple[int | None, int | None] = (6, 3), least_seen: int = 2):
+        self.model, self.margin, self.beam, self.most = model, margin, beam, readings
+        wide = [c for c in model.chars if ord(c) > 127 and c != LOST and model.chars[c] >= least_seen]
         every = sorted(set(wide) | {c.upper() for c in wide if len(c.upper()) == 1})
-        self.utf8 = [(c, c.encode()) for c in every]
+        self.utf8 = [(c, c.encode("utf-8", "surrogatepass")) for c in every]
         self.single = {w: [(c, b"?") for c in every if c in _to_char(w).values()] for w in WRITTEN}
-        self.known: dict[str, tuple[str, str, float]] = {}
-        self.near: dict[str, dict[str, str]] = {}
 
     def readings(self, token: str) -> Iterator[tuple[float, str, str]]:
         """(score, text, channel) of each channel that could have made the token."""
@@ -190,30 +191,28 @@ class Decoder:
             if raw is None or tuple(raw) in seen_bytes:
                 continue
             seen_bytes.add(tuple(raw))
-            for score, text in viterbi(raw, "utf-8", self.model, self.utf8)[:6]:
+            for score, text in viterbi(raw, "utf-8", self.model, self.utf8, self.beam)[: self.most[0]]:
                 yield score + 1.0, text, f"utf-8>{read}"
                 twice = lattice(text, "cp1252")
                 if twice is not None and any(ord(c) > 127 for c in text):
-                    for s2, t2 in viterbi(twice, "utf-8", self.model, [])[:1]:
+                    for s2, t2 in viterbi(twice, "utf-8", self.model, [], self.beam):
                         yield s2 + 1.0, t2, f"utf-8>{read} twice"
             for written in WRITTEN:
                 if written != read and None not in raw:
-                    for score, text in viterbi(raw, written, self.model, self.single[written])[:3]:
+                    for score, text in viterbi(raw, written, self.model, self.single[written], self.beam)[: self.most[1]]:
                         yield score - 5.0, text, f"{written}>{read}"
         if LOST in token:
             for written in WRITTEN[:2]:
                 raw = [None if c == LOST else ord(c) if ord(c) < 128 else -1 for c in token]
                 if -1 not in raw:
-                    for score, text in viterbi(raw, written, self.model, self.single[written]):
+                    for score, text in viterbi(raw, written, self.model, self.single[written], self.beam):
                         yield score - 3.0, text, f"{written}>utf-8"
 
-    def token(self, token: str) -> tuple[str, str, float]:
-        """(text, channel, by how much it beats the token); an untouched token has channel ''."""
-        if token in self.known:
-            return self.known[token]
+    def token(self, token: str) -> tuple[str, str, float, dict[str, str]]:
+        """(text, channel, by how much it beats the token, readings that nearly do by channel); an untouched token has channel ''."""
         m = self.model
         own = m.text(token) + 1.5 * math.log1p(m.seen(token))
-        best = ("", token, 0.0)
+        best, near = ("", token, 0.0), {}
         for score, text, channel in self.readings(token):
             gain = score + 1.5 * math.log1p(m.seen(text)) - own
             if LOST in token:  # a lost byte is no character of any text
@@ -221,110 +220,127 @@ class Decoder:
             if text != token and gain > max(self.margin, best[2]):
                 best = (channel, text, gain)
             if text != token and gain > -12 and channel.startswith("utf-8>"):
-                self.near.setdefault(token, {}).setdefault(channel, text)
-        if len(self.known) > 300_000:
-            self.known.clear()
-            self.near.clear()
-        self.known[token] = out = (best[1], best[0], best[2])
-        return out
-
-    def document(self, text: str) -> tuple[str, str, int]:
-        """(restored text, the channel most of its tokens came through, number of garbled tokens)."""
-        found = [self.token(t) for t in _TOKEN.findall(text)]
-        gains: dict[str, float] = {}
-        for _, channel, gain in found:
-            gains[channel] = gains.get(channel, 0.0) + gain
-        # one code page read as another leaves valid text; it takes more than one short word to tell
-        weak = {c for c, g in gains.items() if c and not c.startswith("utf-8>") and not c.endswith(">utf-8") and g < 12}
-        votes: dict[str, int] = {}
-        each = iter(found)
-        lead = max(gains, key=lambda c: (gains[c] if c.startswith("utf-8>") else 0.0, c)) if gains else ""
-
-        def swap(m: re.Match) -> str:
-            better, channel, _ = next(each)
-            if not channel and gains.get(lead, 0) >= 8 and lead in self.near.get(m[0], ()):  # rare words go the way of their text
-                better, channel = self.near[m[0]][lead], lead
-            if channel in weak or not channel and LOST not in m[0]:
-                return m[0]
-            votes[channel or "lost"] = votes.get(channel or "lost", 0) + 1
-            return better
-
-        out = _TOKEN.sub(swap, text)
-        return out, max(votes, key=lambda c: (votes[c], c)) if votes else "", sum(votes.values())
+                near.setdefault(channel, text)
+        return best[1], best[0], best[2], near
+
+
+def put_together(text: str, decoded: dict[str, tuple[str, str, float, dict[str, str]]]) -> tuple[str, str, int]:
+    """(restored text, the channel most of its tokens came through, number of garbled tokens), from what its tokens were decoded to."""
+    found = [decoded.get(t, (t, "", 0.0, {})) for t in _TOKEN.findall(text)]
+    gains: dict[str, float] = {}
+    for _, channel, gain, _ in found:
+        gains[channel] = gains.get(channel, 0.0) + gain
+    # one code page read as another leaves valid text; it takes more than one short word to tell
+    weak = {c for c, g in gains.items() if c and not c.startswith("utf-8>") and not c.endswith(">utf-8") and g < 12}
+    votes: dict[str, int] = {}
+    each = iter(found)
+    lead = max(gains, key=lambda c: (gains[c] if c.startswith("utf-8>") else 0.0, c)) if gains else ""
+
+    def swap(m: re.Match) -> str:
+        better, channel, _, near = next(each)
+        if not channel and gains.get(lead, 0) >= 8 and lead in near:  # rare words go the way of their text
+            better, channel = near[lead], lead
+        if channel in weak or not channel and LOST not in m[0]:
+            return m[0]
+        votes[channel or "lost"] = votes.get(channel or "lost", 0) + 1
+        return better
+
+    out = _TOKEN.sub(swap, text)
+    return out, max(votes, key=lambda c: (votes[c], c)) if votes else "", sum(votes.values())
 
 
 _COUNTS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64())])
 
 
-def train(df: DataFrame, text: str, word_buckets: int = 1 << 20, pair_buckets: int = 1 << 18) -> Model:
-    """The model of all texts. k copies of a text weigh 1 + log2 k, and tokens that read as whole UTF-8 sequences don't count, so that
-    damage that was repeated doesn't vouch for itself. What reaches the driver is bounded by the table sizes and by Unicode's characters."""
+def train(tokens_: DataFrame, word_buckets: int = 1 << 20, pair_buckets: int = 1 << 18) -> Model:
+    """The model of the corpus's tokens (token, n). Tokens that read as whole UTF-8 sequences don't count, so that damage that was repeated doesn't vouch for
+    itself. What reaches the driver is bounded by the table sizes and by Unicode's characters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: dict[str, int] = {}
         words, pairs = np.zeros(word_buckets, np.int64), np.zeros(pair_buckets, np.int64)
         chars = np.zeros(0x110000, np.int64)
-
-        def add() -> None:
-            for t, n in tally.items():
+        for b in batches:
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if whole_utf8(t):
                     continue
                 words[_hash(core(t)) % word_buckets] += n
                 p = f" {t.lower()} "
-                for a, b in zip(p, p[1:], strict=False):
-                    pairs[_hash(a + b) % pair_buckets] += n
-                    chars[ord(a)] += n
-            tally.clear()
-
-        for b in batches:
-            for s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for t in tokens(s):
-                    tally[t] = tally.get(t, 0) + k
-            if len(tally) > 200_000:
-                add()
-        add()
+                for x, y in zip(p, p[1:], strict=False):
+                    pairs[_hash(x + y) % pair_buckets] += n
+                    chars[ord(x)] += n
         for kind, a in enumerate((words, pairs, chars)):
             at = np.flatnonzero(a)
             for i in range(0, len(at), 100_000):
                 x = at[i : i + 100_000]
                 yield pa.record_batch([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(a[x])], schema=_COUNTS)
 
-    rows = df.select(F.col(text).alias("t")).filter("t is not null").groupBy("t").agg(F.round(1 + F.log2(F.count("*"))).cast("long").alias("k")).mapInArrow(count, "kind int, bucket bigint, n bigint")
-    got = rows.groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = tokens_.select("token", "n").mapInArrow(count, "kind int, bucket bigint, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     kind, bucket, n = (got[c].to_numpy() for c in ("kind", "bucket", "n"))
     words, pairs = np.zeros(word_buckets, np.int64), np.zeros(pair_buckets, np.int64)
     words[bucket[kind == 0]], pairs[bucket[kind == 1]] = n[kind == 0], n[kind == 1]
     return Model(words, pairs, {chr(c): int(k) for c, k in zip(bucket[kind == 2], n[kind == 2], strict=True)})
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("channel", pa.string()), ("garbled_tokens", pa.int32()), ("restored", pa.string())])
-
-
-def garbled(df: DataFrame, doc_id: str = "doc_id", text: str = "text", margin: float = 4.0, word_buckets: int = 1 << 20) -> DataFrame:
+def garbled(
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    margin: float = 4.0,
+    word_buckets: int = 1 << 20,
+    beam: int | None = 24,
+    readings: tuple[int | None, int | None] = (6, 3),
+    least_seen: int = 2,
+) -> DataFrame:
     """(doc_id, channel, garbled_tokens, restored) of every record whose text, or a part of it, was read in the wrong encoding.
 
     restored: the whole text with each garbled token replaced by its best reading; what can't be restored stays as it
     is. A replacement character always counts as damage. Null ids, null and empty texts are not affected; an id sent more
     than once counts once (its row with most garbled tokens, then the smallest restored text). An empty table gives no rows. Other
-    columns are not read.
+    columns are not read. beam, readings, least_seen: see Decoder.
 
-    Two scans: one counts words and character pairs of all texts, a text's copies together, into tables of fixed size, the other decodes.
+    Texts with a character outside ASCII are taken once each, whatever the number of their copies, which weigh 1 + log2 of it. Their distinct
+    tokens are counted; the model is trained on these counts; each distinct token is decoded once; texts that hold a garbled one are put together and
+    joined to their ids.
     """
     spark = df.sparkSession
-    m = train(df, text, word_buckets)
+    wide = F.col("t").rlike(r"[^\x00-\x7F]")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).filter(wide).withColumn("h", F.md5("t"))
+    texts = keep(rows.groupBy("h").agg(F.first("t").alias("t"), F.round(1 + F.log2(F.count("*"))).cast("long").alias("k")), "wide-texts")
+    parts = F.filter(F.split("t", r"[ \t\r\n]+"), lambda x: x.rlike(r"[^\x00-\x7F]"))
+    counts = keep(texts.select(F.explode(parts).alias("token"), "k").groupBy("token").agg(F.sum("k").alias("n")), "wide-tokens")
+    m = train(counts, word_buckets)
     shared = spark.sparkContext.broadcast((m.words.astype(np.int32) if m.words.max(initial=0) < 2**31 else m.words, m.pairs, m.chars))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Decoder(Model(*shared.value), margin)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = Decoder(Model(*shared.value), margin, beam, readings, least_seen)
+        for b in batches:
+            out = []
+            for t in b.column(0).to_pylist():
+                better, channel, gain, near = d.token(t)
+                if channel or near or LOST in t:
+                    out.append((t, better, channel, gain, list(near.items())))
+            cols = zip(*out, strict=True) if out else [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.map_(pa.string(), pa.string()))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["token", "better", "channel", "gain", "near"])
+
+    spread = spark.sparkContext.defaultParallelism
+    many = counts.select("token").repartition(max(spread, 1)) if counts.rdd.getNumPartitions() < spread else counts.select("token")
+    decoded = keep(many.mapInArrow(decode, "token string, better string, channel string, gain double, near map<string,string>"), "decoded")
+    held = texts.select("h", F.explode(F.array_distinct(parts)).alias("token")).join(decoded, "token")
+    bad = (F.col("channel") != "") | F.col("token").contains(LOST)
+    held = held.groupBy("h").agg(F.collect_list(F.struct("token", "better", "channel", "gain", "near")).alias("found"), F.max(bad).alias("bad")).filter("bad")
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not t.isascii():
-                    restored, channel, n = d.document(t)
-                    if n:
-                        rows.append((i, channel, n, restored))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _OUT, strict=True)], schema=_OUT)
-
-    found = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).dropna().mapInArrow(run, "doc_id bigint, channel string, garbled_tokens int, restored string")
-    first = found.groupBy("doc_id").agg(F.min(F.struct(F.negative("garbled_tokens").alias("g"), "restored", "channel")).alias("m"))
+            out = []
+            for h, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                restored, channel, n = put_together(t, {x["token"]: (x["better"], x["channel"], x["gain"], dict(x["near"])) for x in found})
+                if n:
+                    out.append((h, channel, n, restored))
+            cols = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["h", "channel", "garbled_tokens", "restored"])
+
+    found = keep(texts.join(held, "h").select("h", "t", "found").mapInArrow(assemble, "h string, channel string, garbled_tokens int, restored string"), "restored")
+    each = rows.filter("doc_id is not null").select("doc_id", "h").join(found, "h")
+    first = each.groupBy("doc_id").agg(F.min(F.struct(F.negative("garbled_tokens").alias("g"), "restored", "channel")).alias("m"))
     return first.select("doc_id", "m.channel", F.negative("m.g").alias("garbled_tokens"), "m.restored")

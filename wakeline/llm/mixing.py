@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from wakeline.storage import keep
@@ -17,25 +18,26 @@ from wakeline.storage import keep
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-@cache
-def _encoder(path: str):
-    import sys
+#: how the public byte-level vocabularies part a text before merging: a fixed value
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    import tiktoken
 
-    sys.path.append(str(Path(path).resolve().parent.parent))
-    from public_tokenizers import PATTERN
+@cache
+def _encoder(vocabulary: bytes, pattern: str):
+    import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """df with `tokens bigint`, the size of its column `text` under a public byte-level vocabulary; 0 for null. Whole texts."""
-    schema = f"{df.drop('tokens')._jdf.schema().toDDL()}, tokens bigint"
+    """df with `tokens bigint`, the size of its column `text` under a public byte-level vocabulary; 0 for null. Whole texts. The vocabulary's file is
+    read by the driver and broadcast (under 1 MB)."""
+    schema = StructType([*df.drop("tokens").schema.fields, StructField("tokens", LongType())])
+    shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(vocabulary)
+        enc = _encoder(shared.value, PATTERN)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "tokens"])
@@ -83,6 +85,7 @@ def mix(
     total_tokens: float | None = None,
     seed: int = 42,
     vocabulary: str = VOCABULARY,
+    share_of_caps: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, report). members: doc_id, source, tokens, copies (1 up) of each document used. report: a row per
     target source with target_share, max_repeats, documents, tokens (one pass), epochs, used_tokens, actual_share.
@@ -90,7 +93,7 @@ def mix(
     docs needs doc_id, text and source, spelled as may be; a doc_id sent again counts once, with its smallest
     (source, text); null ids and null sources are left out, null texts have no tokens. targets are small by nature
     (a row per source) and read by the driver; repeated targets count once. total_tokens: None takes the largest total at which all shares
-    are reached; a larger one clamps sources at max_repeats and spreads the rest. Empty tables give empty results.
+    are reached; a larger one clamps sources at max_repeats and spreads the rest. share_of_caps sets it to that part of all the caps allow. Empty tables give empty results.
 
     epochs = whole + fraction: every document is used `whole` times and those first in a seeded order once more, until
     the fraction's tokens are reached (to the nearest document). The order is a hash of (seed, doc_id); its cut is found
@@ -111,6 +114,8 @@ def mix(
     assert one.columns == [c.split()[0] for c in sizes.split(", ")]
     have = {r["source"]: r["t"] for r in one.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     share, most = {s: v[0] for s, v in want.items()}, {s: v[1] for s, v in want.items()}
+    if share_of_caps is not None:
+        total_tokens = share_of_caps * sum(most[s] * have.get(s, 0) for s in want)
     total = largest_exact_total(have, share, most) if total_tokens is None else total_tokens
     epochs = water_fill(have, share, most, total)
 

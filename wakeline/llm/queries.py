@@ -98,6 +98,11 @@ def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
 
 
+def p8_clamped(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture of nine tenths of all that the caps allow: small sources are clamped at their repeats, the others take over their weight."""
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), share_of_caps=0.9)[1]
+
+
 def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.garbled(table(spark, sf, "documents"))
 
@@ -107,7 +112,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_clusters, p1_topics, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbors, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_documents, p9_found, p9_restored]
+    found = [p1_found, p1_clusters, p1_topics, p2_found, p2_terms, p3_found, p3_groups, p4_found, p4_neighbors, p5_found, p6_found, p6_patterns, p7_found, p7_leaks, p8_mixture, p8_clamped, p8_documents, p9_found, p9_restored]
     return {f.__name__: f for f in found}
 
 

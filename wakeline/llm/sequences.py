@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,10 @@ from wakeline.storage import keep
 _OUT = pa.schema([("pattern", pa.list_(pa.string())), ("entities", pa.int64())])
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch], gap: int) -> tuple[dict[str, int], np.ndarray] | None:
-    """A bit vector for each state and the first bit of each entity. Entities lie `gap` empty bits apart, so no shift reaches the next one."""
+def _bitmaps(batches: Iterator[pa.RecordBatch], gap: int, least: Callable[[int], int], only: set[str] | None) -> tuple[dict[str, int], np.ndarray] | None:
+    """A bit vector for each state that can be part of a pattern (one of `only`, or held by least(entities of the task) entities) and the first
+    bit of each entity. Entities lie `gap` empty bits apart, so no shift reaches the next one. As a state held by a share of the entities takes that many positions, the vectors
+    kept are at most 1 / share times as long as the task's events, however many states there are."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return None
@@ -27,11 +29,16 @@ def _bitmaps(batches: Iterator[pa.RecordBatch], gap: int) -> tuple[dict[str, int
     ordinal[change] = 1
     at = np.arange(len(ent)) + gap * np.cumsum(ordinal)
     starts = at[np.concatenate([[0], change])]
-    maps, idx = {}, code.indices.to_numpy()
-    for i, name in enumerate(code.dictionary.to_pylist()):
-        bits = np.zeros(int(at[-1]) + 1, np.uint8)
-        bits[at[idx == i]] = 1
-        maps[name] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    maps, idx = {}, code.indices.to_numpy().astype(np.int64)
+    names, rank = code.dictionary.to_pylist(), np.cumsum(ordinal)
+    held = np.bincount(np.unique(idx * (rank[-1] + 1) + rank) // (rank[-1] + 1), minlength=len(names))
+    order = np.argsort(idx, kind="stable")
+    cut = np.searchsorted(idx[order], np.arange(len(names) + 1))
+    for i, name in enumerate(names):
+        if name in only if only is not None else held[i] >= least(len(starts)):
+            bits = np.zeros(int(at[-1]) + 1, np.uint8)
+            bits[at[order[cut[i] : cut[i + 1]]]] = 1
+            maps[name] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
     return maps, starts
 
 
@@ -101,17 +108,18 @@ def frequent_sequences(
     if not n:
         return spark.createDataFrame([], "pattern array<string>, entities bigint")
     need = max(min_entities, int(np.ceil(round(min_share * n, 9))))
-    tasks = max(1, -(-n // entities_per_task))
+    tasks = max(1, n // entities_per_task)  # none has so few entities that a share of them is one
     seq = keep(seq, "sequences")
     by_task = seq.repartition(tasks, "entity").sortWithinPartitions("entity", "place").select("entity", "state")
 
     def one_pass(follow: frozenset | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = _bitmaps(batches, max_gap)
+            share = lambda entities: max(1, -(-need * entities // n))
+            got = _bitmaps(batches, max_gap, share, None if follow is None else {s for p in follow for s in p})
             if got is None:
                 return
             maps, starts = got
-            least = 1 if follow is not None else -(-need * len(starts) // n)
+            least = 1 if follow is not None else share(len(starts))
             rows = [(list(p), c) for p, c in _mine(maps, starts, max_gap, max_len, least, follow)]
             for i in range(0, len(rows), 20_000):
                 part = rows[i : i + 20_000]
