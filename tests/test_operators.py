@@ -304,14 +304,56 @@ def test_pipelines_end_to_end(spark, tmp_path):
     assert e["metrics"].filter("metric = 'Hit@20'").first()["value"] == 1.0 and e["strict_metrics"].count() == e["metrics"].count()
 
 
-def test_fold_resumes_and_links(spark):
-    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.05]), (4, [0.9, 0.5])], "thought_id bigint, embedding array<float>")
-    whole = {r["thought_id"]: (r["zone"], r["stored"], r["updated"]) for r in pool.fold(d).collect()}
-    start = d.filter("thought_id <= 2").withColumn("evolution_count", F.lit(0))
-    rest = {r["thought_id"]: (r["zone"], r["stored"], r["updated"]) for r in pool.fold(d, resume=start).collect()}
-    assert rest == {k: v for k, v in whole.items() if k > 2}
-    assert all(not r["links"] for r in pool.fold(d, linker=lambda i, ids: [99]).collect())
-    assert all(not r["links"] for r in pool.fold(d, linker=lambda i, ids: 1 / 0).collect())
+@pytest.mark.parametrize("cut", [1, 2, 3, 4])
+def test_fold_resumes_and_links(spark, cut):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.02]), (3, [1.0, 0.03]), (4, [0.0, 1.0]), (5, [0.9, 0.5]), (6, [1.0, 0.01])]  # 2 and 3 only update
+    d = spark.createDataFrame(rows, "thought_id bigint, embedding array<float>")
+    told = lambda f: {r["thought_id"]: (r["zone"], r["stored"], r["updated"]) for r in f.collect()}
+    whole = pool.fold(d)
+    assert told(whole)[2][1:] == told(whole)[3][1:] == (False, [1])
+    part = pool.fold(d.filter(F.col("thought_id") <= cut))
+    left = pool.pool_after(d, part)
+    rest = pool.fold(d, resume=left, processed=pool.progress(part))
+    assert told(rest) == {k: v for k, v in told(whole).items() if k > cut}
+    after = lambda p: {r["thought_id"]: r["evolution_count"] for r in p.collect()}
+    assert after(pool.pool_after(d, rest, resume=left)) == after(pool.pool_after(d, whole))
+    assert pool.progress(rest, before=pool.progress(part)).first()["last_id"] == 6
+    if cut == 1:
+        with pytest.raises(ValueError, match="built under"):
+            pool.fold(d, pool.PoolConfig(low=0.1), resume=left, processed=pool.progress(part))
+        with pytest.raises(ValueError, match="progress"):
+            pool.fold(d, resume=left)
+        assert all(not r["links"] for r in pool.fold(d, linker=lambda i, ids: [99]).collect())
+        assert all(not r["links"] for r in pool.fold(d, linker=lambda i, ids: 1 / 0).collect())
+
+
+def test_fold_keeps_progress_by_shard(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.0]), ("a", 9, [1.0, 0.01]), ("b", 3, [1.0, 0.01])]
+    d = spark.createDataFrame(rows, "s string, thought_id bigint, embedding array<float>")
+    part = pool.fold(d.filter("s = 'a' or thought_id = 2"), shard="s")
+    left = pool.pool_after(d, part, shard="s")
+    got = pool.fold(d, shard="s", resume=left, processed=pool.progress(part)).collect()
+    assert [(r["shard"], r["thought_id"], r["updated"]) for r in got] == [("b", 3, [2])]
+
+
+def test_fold_evolves_texts_and_vectors(spark):
+    d = spark.createDataFrame([(1, "old", [1.0, 0.0]), (2, "more", [1.0, 0.01]), (3, "again", [0.0, 1.0]), (4, "bad", [1.0, 0.02])], "thought_id bigint, t string, embedding array<float>")
+
+    def evolver(i, text, linked):
+        return {k: {2: "turned", 3: w, 4: "N/A"}[i] for k, w in linked} | {77: "made up"}
+
+    f = pool.fold(d, evolver=evolver, encoder=lambda ts: [[0.0, 1.0] for _ in ts], text="t")
+    got = {r["thought_id"]: r for r in f.collect()}
+    assert [(x["thought_id"], x["text"], x["embedding"]) for x in got[2]["changed"]] == [(1, "turned", [0.0, 1.0])]
+    assert got[3]["links"] == [1] and not got[3]["updated"]  # its vector moved, its text stayed
+    assert got[4]["zone"] == "all_low:store"
+    p = {r["thought_id"]: r for r in pool.pool_after(d, f, text="t").collect()}
+    assert (p[1]["t"], p[1]["evolution_count"], p[1]["embedding"]) == ("turned", 1, [0.0, 1.0])
+    assert [(r["by_id"], r["thought_id"], r["text"]) for r in pool.evolution_log(f).collect()] == [(2, 1, "turned")]
+    assert pool.fold(d, evolver=lambda *a: 1 / 0, encoder=lambda ts: ts, text="t").filter(F.size("changed") > 0).count() == 0
+    with pytest.raises(ValueError, match="again"):
+        pool.checked_pool(d.unionByName(d), 2)
+    assert pool.checked_pool(d, 2).count() == 4
 
 
 def test_small_helpers(spark):

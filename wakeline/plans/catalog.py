@@ -530,9 +530,42 @@ def strategy_zones(spark, sf):
     return z.select("query", "zone", F.size("eligible").cast("bigint").alias("eligible"))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id AS id, {_UNIT.format(a="embedding")} AS v FROM embeddings WHERE embedding IS NOT NULL),
+f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS id, '' AS kind, false AS stored, []::BIGINT[] AS links, []::BIGINT[] AS updated, []::BIGINT[] AS ids, []::DOUBLE[][] AS vs, []::BIGINT[] AS ev
+UNION ALL SELECT i, id, kind, stored, list_transform(links, lambda k: ids[k]), list_transform(updated, lambda k: ids[k]), CASE WHEN stored THEN list_append(ids, id) ELSE ids END, CASE WHEN stored THEN list_append(vs, v) ELSE vs END,
+  CASE WHEN stored THEN list_append(list_transform(ev, lambda e, k: e + list_contains(updated, k)::BIGINT), 0) ELSE list_transform(ev, lambda e, k: e + list_contains(updated, k)::BIGINT) END
+FROM (SELECT *, contains(kind, 'store') OR (len(links) > 0 AND len(updated) = 0) AS stored FROM (SELECT *, list_filter(links, lambda k: ev[k] < 10) AS updated FROM
+ (SELECT *, CASE WHEN contains(kind, 'update') THEN list_filter(near, lambda k: sims[k] >= low) ELSE [] END AS links FROM
+ (SELECT *, CASE WHEN len(top) = 0 THEN 'no_memories:store' WHEN list_max(top) < low THEN 'all_low:store' WHEN list_max(top) < high THEN 'medium:update+store' WHEN len(list_filter(top, lambda s: s >= high)) >= 0.6 * len(top) THEN 'high_majority:update'
+  WHEN len(list_filter(top, lambda s: s < low)) >= 0.5 * len(top) THEN 'low_majority:store' WHEN len(list_filter(top, lambda s: s >= high)) >= 0.4 * len(top) THEN 'high_share:update+store' ELSE 'mixed:update+store' END AS kind FROM
+ (SELECT *, list_transform(near, lambda k: sims[k]) AS top FROM
+ (SELECT *, list_transform(list_sort(list_transform(range(1, len(sims) + 1), lambda k: {{'s': -round(sims[k], 9), 'k': k}}))[1:5], lambda z: z.k) AS near FROM
+ (SELECT m.i, m.id, m.v, f.ids, f.vs, f.ev, list_transform(f.vs, lambda x: list_inner_product(x, m.v)) AS sims, 0.3 + 0.05 * least(len(f.ids) / 1000.0, 1) AS low, 0.6 - 0.05 * least(len(f.ids) / 1000.0, 1) AS high FROM f JOIN m ON m.i = f.i + 1))))))))
+SELECT id AS thought_id, kind AS zone, stored, coalesce(array_to_string(links, ','), '') AS links, coalesce(array_to_string(updated, ','), '') AS updated FROM f WHERE i > 0""")
 def memory_fold(spark, sf):
-    return pool.fold(T.read(spark, sf, "embeddings"), pool.PoolConfig(low=0.3, high=0.6), "vec_id")
+    f = pool.fold(T.read(spark, sf, "embeddings"), pool.PoolConfig(low=0.3, high=0.6), "vec_id")
+    return f.select("thought_id", "zone", "stored", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("links", "updated")])
+
+
+def _usable(spark, sf):
+    """Each memory once, with 64 finite numbers, not all zero."""
+    d = T.read(spark, sf, "global_memory").filter("thought_id is not null and size(embedding) = 64 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    one = d.groupBy("thought_id").agg(F.min(F.struct("embedding", "source_user_id")).alias("m"))
+    return one.select("thought_id", "m.embedding", F.coalesce("m.source_user_id", F.lit("")).alias("user_id"))
+
+
+@query()
+def memory_fold_by_user(spark, sf):
+    """A pool for every user: as many tasks as there are users."""
+    f = pool.fold(_usable(spark, sf), shard="user_id")
+    return f.select("shard", "thought_id", "zone", "stored", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("links", "updated")])
+
+
+@query()
+def pool_after_fold(spark, sf):
+    d = _usable(spark, sf)
+    f = keep(pool.fold(d, shard="user_id"), "folded")
+    return pool.pool_after(d, f, shard="user_id").select("thought_id", "user_id", "evolution_count", F.size("links").alias("links"))
 
 
 # --- candidates, rankings ----------------------------------------------------------------------------------------
