@@ -305,9 +305,10 @@ def garbled(
     spark = df.sparkSession
     wide = F.col("t").rlike(r"[^\x00-\x7F]")
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).filter(wide).withColumn("h", F.md5("t"))
-    texts = keep(rows.groupBy("h").agg(F.first("t").alias("t"), F.round(1 + F.log2(F.count("*"))).cast("long").alias("k")), "wide-texts")
     parts = F.filter(F.split("t", r"[ \t\r\n]+"), lambda x: x.rlike(r"[^\x00-\x7F]"))
-    counts = keep(texts.select(F.explode(parts).alias("token"), "k").groupBy("token").agg(F.sum("k").alias("n")), "wide-tokens")
+    texts = rows.groupBy("h").agg(F.first("t").alias("t"), F.round(1 + F.log2(F.count("*"))).cast("long").alias("k"))
+    texts = keep(texts.withColumn("parts", parts), "wide-texts")
+    counts = keep(texts.select(F.explode("parts").alias("token"), "k").groupBy("token").agg(F.sum("k").alias("n")), "wide-tokens")
     m = train(counts, word_buckets)
     shared = spark.sparkContext.broadcast((m.words.astype(np.int32) if m.words.max(initial=0) < 2**31 else m.words, m.pairs, m.chars))
 
@@ -326,7 +327,7 @@ def garbled(
     spread = spark.sparkContext.defaultParallelism
     many = counts.select("token").repartition(max(spread, 1)) if counts.rdd.getNumPartitions() < spread else counts.select("token")
     decoded = keep(many.mapInArrow(decode, "token string, better string, channel string, gain double, near map<string,string>"), "decoded")
-    held = texts.select("h", F.explode(F.array_distinct(parts)).alias("token")).join(decoded, "token")
+    held = texts.select("h", F.explode(F.array_distinct("parts")).alias("token")).join(decoded, "token")
     bad = (F.col("channel") != "") | F.col("token").contains(LOST)
     held = held.groupBy("h").agg(F.collect_list(F.struct("token", "better", "channel", "gain", "near")).alias("found"), F.max(bad).alias("bad")).filter("bad")
 
