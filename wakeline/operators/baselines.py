@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wakeline.storage import keep
+
 
 def adjacency(pairs: DataFrame) -> DataFrame:
     """(user_id, item_id, weight): symmetric normalisation, 1 / sqrt(user degree * item degree), of each pair once."""
@@ -15,17 +21,60 @@ def adjacency(pairs: DataFrame) -> DataFrame:
     return e.join(du, "user_id").join(di, "item_id").select("user_id", "item_id", (1 / F.sqrt(F.col("du") * F.col("di"))).alias("weight"))
 
 
+def _spread(edges: DataFrame, vectors: DataFrame, by: str, to: str, dims: int) -> DataFrame:
+    """(to, v): the weighted sum of the neighbours' vectors. Sums are made in each task before the shuffle, so an item or user with a third of all edges
+    leaves a task as one row."""
+    schema = f"{to} bigint, v array<double>"
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            b = pa.record_batch([pa.array(list(own), pa.int64()), pa.array([x.tolist() for x in own.values()], pa.list_(pa.float64()))], names=[to, "v"])
+            own.clear()
+            return b
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, w = b.column(0).to_numpy(), b.column(1).to_numpy()
+            m = np.asarray(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(k), dims) * w[:, None]
+            order = np.argsort(k, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) != 0]))
+            for i, s in zip(k[order][at].tolist(), np.add.reduceat(m[order], at), strict=True):
+                own[i] = own[i] + s if i in own else s
+            if len(own) > 100_000:
+                yield out()
+        yield out()
+
+    part = edges.join(vectors, by).select(F.col(to).cast("long").alias(to), "weight", "v").mapInArrow(total, schema)
+    return part.select(to, F.lit(1.0).alias("weight"), "v").repartition(to).mapInArrow(total, schema)
+
+
 def propagate(edges: DataFrame, users: DataFrame, items: DataFrame, layers: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Light graph convolution: (user_id, d, x) and (item_id, d, x), the mean of the layers' embeddings (the input is layer 0). A layer is a
-    join and a sum each way, with partial sums before the shuffle."""
-    u, i = users, items
-    us, is_ = users, items
+    """Light graph convolution: (user_id, v) and (item_id, v), the mean of the layers' embeddings (the input, arrays of one length, is layer 0). A layer is one
+    join and one sum each way over rows of whole vectors; each is written once, as the next one and the mean read it."""
+    edges = keep(edges, "edges")
+    first = users.select(F.size("v").alias("n")).first()
+    if first is None:
+        return users, items
+    u, i = keep(users, "layer"), keep(items, "layer")
+    us, is_ = [u], [i]
     for _ in range(layers):
-        nu = edges.join(i, "item_id").groupBy("user_id", "d").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-        ni = edges.join(u, "user_id").groupBy("item_id", "d").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-        u, i = nu, ni
-        us, is_ = us.unionByName(u), is_.unionByName(i)
-    mean = lambda s, k: s.groupBy(k, "d").agg((F.sum("x") / (layers + 1)).alias("x"))
+        u, i = keep(_spread(edges, i, "item_id", "user_id", first["n"]), "layer"), keep(_spread(edges, u, "user_id", "item_id", first["n"]), "layer")
+        us.append(u)
+        is_.append(i)
+
+    def mean(parts: list[DataFrame], key: str) -> DataFrame:
+        d = parts[0].withColumnRenamed("v", "v0")
+        for k, p in enumerate(parts[1:], 1):
+            d = d.join(p.withColumnRenamed("v", f"v{k}"), key, "left")
+        zero = F.transform("v0", lambda x: F.lit(0.0))
+        v = F.col("v0")
+        for k in range(1, len(parts)):
+            v = F.zip_with(v, F.coalesce(f"v{k}", zero), lambda a, b: a + b)
+        return d.select(key, F.transform(v, lambda x: x / len(parts)).alias("v"))
+
     return mean(us, "user_id"), mean(is_, "item_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wakeline.storage import keep
+
 #: the side of a search or an assignment that is broadcast may have so many values (64 MB as single precision)
 BROADCAST_VALUES = 16_000_000
 
@@ -103,74 +106,129 @@ def allocate(sizes: DataFrame, clusters: int, bucket: str = "bucket", size: str
     return sizes.join(extra, bucket, "left").select(bucket, size, (1 + F.coalesce("extra", F.lit(0))).alias("clusters"))
 
 
-def bucketed_kmeans(df: DataFrame, clusters: int, id_: str, bucket: str, vector: str, rounds: int = 10, restarts: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(labels, states): spherical k-means within each bucket, all buckets in the same passes. labels (id, bucket, cluster_id);
-    states (cluster_id, bucket, centroid). Cluster ids are dense over the buckets in order of their names.
+def bucketed_kmeans(df: DataFrame, clusters: int, id_: str, bucket: str, vector: str, rounds: int = 300, restarts: int = 20, seed: int = 42, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """(labels, states): spherical k-means within each bucket, all buckets and all restarts in the same passes. labels (id, bucket, cluster_id);
+    states (cluster_id, bucket, centroid). Cluster ids are dense over the buckets in order of their names. More clusters than vectors, or
+    fewer than buckets, raise.
 
-    Each round is one scan with partial sums: the centres (clusters * dims values) are broadcast, and a row a centre comes back; no bucket
-    is gathered. Of `restarts` seedings the one of least inertia stays.
+    A bucket's seeds are drawn as k-means++ does, over up to 64 candidates a cluster of each bucket (those of the smallest hashes; a top-k by partial
+    aggregation, so no bucket is gathered). Each round is one scan with partial sums for all restarts that still move: their centres
+    (restarts * clusters * dims values, checked) are broadcast, and a row a centre comes back. A restart stops when its cost falls by less than
+    `tolerance` of itself, or after `rounds`; the one of least cost stays.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_).alias("id"), F.col(bucket).alias("b"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    rows = keep(df.select(F.col(id_).alias("id"), F.col(bucket).alias("b"), F.col(vector).cast("array<double>").alias("v")).dropna(), "bucketed")
+    n = rows.count()
+    if clusters > n:
+        raise ValueError(f"{clusters} clusters of {n} vectors")
     sizes = rows.groupBy("b").agg(F.count("*").alias("n"))
-    plan = sorted(((r["b"], r["clusters"]) for r in allocate(sizes, min(clusters, rows.count()), "b", "n").collect()), key=lambda x: x[0])
+    plan = sorted(((r["b"], r["clusters"]) for r in allocate(sizes, clusters, "b", "n").collect()), key=lambda x: x[0])
     first = {b: sum(k for _, k in plan[:i]) for i, (b, _) in enumerate(plan)}
     count = {b: k for b, k in plan}
-    best: tuple[float, np.ndarray] | None = None
+    kind = dict(rows.dtypes)
 
-    def scan(centres: np.ndarray):
-        shared = spark.sparkContext.broadcast(centres)
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for x in batches:
+            us, names, vs = x.column(2).to_pylist(), x.column(0).to_pylist(), x.column(1)
+            for i, (b, u) in enumerate(zip(names, us, strict=True)):
+                heap, most = best.setdefault(b, []), 64 * count[b]
+                if len(heap) < most:
+                    heapq.heappush(heap, (-u, i, vs[i].as_py()))
+                elif -heap[0][0] > u:
+                    heapq.heapreplace(heap, (-u, i, vs[i].as_py()))
+        out = [(b, -u, v) for b, heap in best.items() for u, _, v in heap]
+        cols = zip(*out, strict=True) if out else [[]] * 3
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (x.schema.field(0).type, pa.int64(), pa.list_(pa.float64())), strict=True)], names=["b", "u", "v"])
+
+    got = rows.select("b", "v", F.xxhash64(F.lit(seed), "id").alias("u")).mapInArrow(draw, f"b {kind['b']}, u bigint, v array<double>").collect()
+    pools: dict = {}
+    for r in sorted(got, key=lambda r: r["u"]):
+        if len(pools.setdefault(r["b"], [])) < 64 * count[r["b"]]:
+            pools[r["b"]].append(r["v"])
+    dims = len(got[0]["v"])
+    if restarts * clusters * dims > BROADCAST_VALUES:
+        raise ValueError("restarts * clusters * dims: over what is broadcast")
+    centres = np.zeros((restarts, clusters, dims))
+    for b, k in plan:
+        m = _units(np.array(pools[b]))
+        for r in range(restarts):
+            rng = np.random.default_rng([seed, r, first[b]])
+            at = [int(rng.integers(len(m)))]
+            far = 1 - m @ m[at[0]]
+            while len(at) < k:
+                p = np.maximum(far, 1e-12)
+                at.append(int(rng.choice(len(m), p=p / p.sum())))
+                far = np.minimum(far, 1 - m @ m[at[-1]])
+            centres[r, first[b] : first[b] + k] = m[at]
+
+    def scan(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(new centres, costs) of the restarts in c, in one pass."""
+        shared = spark.sparkContext.broadcast(c)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
-            sums, n, cost = np.zeros_like(c), np.zeros(len(c), np.int64), np.zeros(len(c))
+            sums, cost, seen = np.zeros_like(c), np.zeros(c.shape[:2]), np.zeros(c.shape[:2], np.int64)
             for x in batches:
-                m, names = _units(_matrix(x.column(2))), np.array(x.column(1).to_pylist(), dtype=object)
+                m, names = _units(_matrix(x.column(1))), np.array(x.column(0).to_pylist(), dtype=object)
                 for b in set(names):
-                    at = np.flatnonzero(names == b)
-                    s = m[at] @ c[first[b] : first[b] + count[b]].T
-                    a = s.argmax(axis=1)
-                    np.add.at(sums, first[b] + a, m[at])
-                    n += np.bincount(first[b] + a, minlength=len(c))
-                    np.add.at(cost, first[b] + a, 1 - s[np.arange(len(at)), a])
-            ok = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(ok), pa.array(n[ok]), pa.array(cost[ok]), pa.array(list(sums[ok]), pa.list_(pa.float64()))], names=["c", "n", "cost", "s"])
-
-        got = rows.mapInArrow(run, "c bigint, n bigint, cost double, s array<double>")
-        dims = got.select("c", F.posexplode("s").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("x")).toArrow()
-        out = centres.copy()
-        out[dims["c"].to_numpy(), dims["d"].to_numpy()] = dims["x"].to_numpy()
-        return _units(out), got.agg(F.sum("cost")).first()[0]
-
-    for r in range(restarts):
-        w = Window.partitionBy("b").orderBy("u", "id")
-        need = spark.createDataFrame(plan, sizes.select("b", F.lit(0).alias("k")).schema)
-        drawn = rows.withColumn("u", F.xxhash64(F.lit(seed + r), "id")).withColumn("j", F.row_number().over(w)).join(F.broadcast(need), "b").filter("j <= k").select("b", "j", "v").collect()
-        centres = np.zeros((sum(count.values()), len(drawn[0]["v"])))
-        for x in drawn:
-            centres[first[x["b"]] + x["j"] - 1] = x["v"]
-        centres, cost = _units(centres), math.inf
-        for _ in range(rounds):
-            centres, now = scan(centres)
-            if now >= cost - 1e-9:
-                break
-            cost = now
-        if best is None or cost < best[0]:
-            best = (cost, centres)
-    shared = spark.sparkContext.broadcast(best[1])
+                    at, own = np.flatnonzero(names == b), slice(first[b], first[b] + count[b])
+                    for r in range(len(c)):
+                        s = m[at] @ c[r, own].T
+                        a = s.argmax(axis=1)
+                        np.add.at(sums[r, own], a, m[at])
+                        seen[r, own] += np.bincount(a, minlength=count[b])
+                        cost[r, own] += np.bincount(a, 1 - s[np.arange(len(at)), a], minlength=count[b])
+            r, k = np.nonzero(seen)
+            yield pa.record_batch([pa.array(r), pa.array(k), pa.array(cost[r, k]), pa.array([x.tobytes() for x in sums[r, k]], pa.binary())], names=["r", "k", "cost", "s"])
+
+        def add(t: pa.Table) -> pa.Table:
+            s = np.sum([np.frombuffer(x) for x in t["s"].to_pylist()], axis=0)
+            return pa.table({"r": t["r"].slice(0, 1), "k": t["k"].slice(0, 1), "cost": pa.array([float(np.sum(t["cost"].to_numpy()))]), "s": pa.array([s.tobytes()], pa.binary())})
+
+        schema = "r bigint, k bigint, cost double, s binary"
+        t = rows.select("b", "v").mapInArrow(run, schema).groupBy("r", "k").applyInArrow(add, schema).toArrow()
+        out, cost = c.copy(), np.zeros(len(c))
+        if t.num_rows:
+            out[t["r"].to_numpy(), t["k"].to_numpy()] = np.array([np.frombuffer(x) for x in t["s"].to_pylist()])
+            np.add.at(cost, t["r"].to_numpy(), t["cost"].to_numpy())
+        norm = np.linalg.norm(out, axis=2, keepdims=True)
+        return np.where(norm > 1e-12, out / np.maximum(norm, 1e-12), c), cost
+
+    costs, moving = np.full(restarts, math.inf), np.arange(restarts)
+    for _ in range(rounds):
+        new, now = scan(centres[moving])
+        centres[moving] = new
+        still = costs[moving] - now > tolerance * np.maximum(now, 1e-12)
+        costs[moving] = np.minimum(costs[moving], now)
+        moving = moving[still | ~np.isfinite(now)]
+        if not len(moving):
+            break
+    best = centres[int(costs.argmin())]
+    shared = spark.sparkContext.broadcast(best)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            m, names = _units(_matrix(x.column(2))), x.column(1).to_pylist()
-            ids = [first[b] + int((shared.value[first[b] : first[b] + count[b]] @ v).argmax()) for b, v in zip(names, m, strict=True)]
-            yield pa.record_batch([x.column(0), x.column(1), pa.array(ids, pa.int32())], names=["id", "b", "cluster_id"])
+            m, names = _units(_matrix(x.column(2))), np.array(x.column(1).to_pylist(), dtype=object)
+            ids = np.zeros(len(names), np.int32)
+            for b in set(names):
+                at = np.flatnonzero(names == b)
+                ids[at] = first[b] + (m[at] @ shared.value[first[b] : first[b] + count[b]].T).argmax(axis=1)
+            yield pa.record_batch([x.column(0), x.column(1), pa.array(ids)], names=["id", "b", "cluster_id"])
 
-    kind = dict(rows.dtypes)
     labels = rows.mapInArrow(label, f"id {kind['id']}, b {kind['b']}, cluster_id int").withColumnsRenamed({"id": id_, "b": bucket})
-    owner = [(first[b] + j, b, best[1][first[b] + j].tolist()) for b, k in plan for j in range(k)]
+    owner = [(first[b] + j, b, best[first[b] + j].tolist()) for b, k in plan for j in range(k)]
     return labels, spark.createDataFrame(owner, f"cluster_id int, {bucket} {kind['b']}, centroid array<double>")
 
 
+def run_kmeans(df: DataFrame, clusters: int, id_: str, vector: str, bucket: str | None = None, **settings) -> tuple[DataFrame, DataFrame]:
+    """k-means over all vectors as one bucket (mode `global`, no bucket) or within each bucket. More clusters than vectors raise."""
+    if bucket is not None:
+        return bucketed_kmeans(df, clusters, id_, bucket, vector, **settings)
+    labels, states = bucketed_kmeans(df.withColumn("_all", F.lit("all")), clusters, id_, "_all", vector, **settings)
+    return labels.drop("_all"), states.drop("_all")
+
+
 def state_name(cluster: Column) -> Column:
     return F.concat(F.lit("C"), F.lpad(cluster.cast("string"), 3, "0"))
 
@@ -264,10 +322,10 @@ def tfidf(df: DataFrame, id_: str, text: str, stop_words: list[str], max_feature
     occurrences (ties by term); weight tf * (ln((1 + n) / (1 + df)) + 1), unit length a document. Words have two or more characters."""
     ws = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda w: ~w.isin(stop_words))
     d = df.select(id_, ws.alias("w")).withColumn("two", F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-    tf = d.select(id_, F.explode(F.concat("w", "two")).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf"))
+    tf = keep(d.select(id_, F.explode(F.concat("w", "two")).alias("term")).groupBy(id_, "term").agg(F.count("*").alias("tf")), "term-counts")
     vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
     n = df.agg(F.count("*").alias("docs"))
-    w = tf.join(F.broadcast(vocabulary), "term").crossJoin(n).withColumn("raw", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))  # max_features rows; one row
+    w = keep(tf.join(F.broadcast(vocabulary), "term"), "weighed-terms").crossJoin(n).withColumn("raw", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))  # max_features rows; one row
     norm = w.groupBy(id_).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return w.join(norm, id_).select(id_, "term", "tf", "df", (F.col("raw") / F.col("norm")).alias("weight"))
 

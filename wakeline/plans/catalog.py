@@ -486,7 +486,7 @@ def cluster_allocation(spark, sf):
 
 @query()
 def bucketed_kmeans(spark, sf):
-    labels, st = vectors.bucketed_kmeans(_vectors(spark, sf), 50, "vec_id", "label", "embedding", rounds=5, restarts=2)
+    labels, st = vectors.bucketed_kmeans(_vectors(spark, sf), 50, "vec_id", "label", "embedding")
     return labels.join(st.select("cluster_id", F.col("label").alias("owner")), "cluster_id").select("vec_id", "label", "cluster_id", (F.col("label") == F.col("owner")).alias("in_own_bucket"))
 
 
@@ -507,11 +507,11 @@ STOP_WORDS = ["the", "and", "of", "to", "in", "for", "is", "on", "that", "by", "
 @query(f"""WITH rec AS (SELECT DISTINCT ON (precompute_id) precompute_id, pattern_description AS t FROM local_memory WHERE precompute_id IS NOT NULL),
 w AS (SELECT precompute_id, list_filter(regexp_extract_all(lower(coalesce(t, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})) AS w FROM rec),
 t AS (SELECT precompute_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w), tf AS (SELECT precompute_id, term, count(*) AS tf FROM t GROUP BY ALL),
-v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 2000),
+v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 8000),
 x AS (SELECT tf.*, v.df, tf * (ln((1 + (SELECT count(*) FROM rec)) / (1 + v.df)) + 1) AS raw FROM tf JOIN v USING (term)), n AS (SELECT precompute_id, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY 1)
 SELECT precompute_id, term, tf, df, round(raw / norm, 6) AS weight FROM x JOIN n USING (precompute_id)""")
 def tfidf(spark, sf):
-    d = vectors.tfidf(T.records(spark, sf), "precompute_id", "pattern_description", STOP_WORDS, 2000)
+    d = vectors.tfidf(T.records(spark, sf), "precompute_id", "pattern_description", STOP_WORDS)
     return d.withColumn("weight", F.round("weight", 6))
 
 
@@ -693,15 +693,20 @@ def adjacency(spark, sf):
     return baselines.adjacency(T.sequences(spark, sf).filter("split = 'train'")).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"""{_ADJ}, u0 AS (SELECT DISTINCT user_id, 0 AS d, (user_id % 7) / 7.0 AS x FROM e), i0 AS (SELECT DISTINCT item_id, 0 AS d, (item_id % 5) / 5.0 AS x FROM e),
-u1 AS (SELECT user_id, sum(weight * x) AS x FROM adj JOIN i0 USING (item_id) GROUP BY 1), i1 AS (SELECT item_id, sum(weight * x) AS x FROM adj JOIN u0 USING (user_id) GROUP BY 1),
-u2 AS (SELECT user_id, sum(weight * x) AS x FROM adj JOIN i1 USING (item_id) GROUP BY 1)
-SELECT user_id, round((u0.x + u1.x + u2.x) / 3, 6) AS x FROM u0 JOIN u1 USING (user_id) JOIN u2 USING (user_id)""")
+def _layer_sql(k: int) -> str:
+    return f"""u{k} AS (SELECT user_id, d, sum(weight * x) AS x FROM adj JOIN i{k - 1} USING (item_id) GROUP BY ALL), i{k} AS (SELECT item_id, d, sum(weight * x) AS x FROM adj JOIN u{k - 1} USING (user_id) GROUP BY ALL)"""
+
+
+@query(f"""{_ADJ}, u0 AS (SELECT *, ((user_id % 97) * (d + 3) % 101) / 101.0 AS x FROM (SELECT DISTINCT user_id FROM e), range(64) t(d)), i0 AS (SELECT *, ((item_id % 89) * (d + 5) % 103) / 103.0 AS x FROM (SELECT DISTINCT item_id FROM e), range(64) t(d)),
+{", ".join(_layer_sql(k) for k in (1, 2, 3))}
+SELECT user_id, d::BIGINT AS dim, round((u0.x + u1.x + u2.x + u3.x) / 4, 6) AS x FROM u0 JOIN u1 USING (user_id, d) JOIN u2 USING (user_id, d) JOIN u3 USING (user_id, d)""")
 def graph_propagation(spark, sf):
     e = T.sequences(spark, sf).filter("split = 'train'").select("user_id", "item_id")
-    u = e.select("user_id").distinct().select("user_id", F.lit(0).alias("d"), ((F.col("user_id") % 7) / 7.0).alias("x"))
-    i = e.select("item_id").distinct().select("item_id", F.lit(0).alias("d"), ((F.col("item_id") % 5) / 5.0).alias("x"))
-    return baselines.propagate(baselines.adjacency(e), u, i, 2)[0].select("user_id", F.round("x", 6).alias("x"))
+    start = lambda c, a, b: F.expr(f"transform(sequence(0, 63), d -> (({c} % {a}) * (d + {3 if a == 97 else 5}) % {b}) / {b}.0D)")
+    u = e.select("user_id").distinct().withColumn("v", start("user_id", 97, 101))
+    i = e.select("item_id").distinct().withColumn("v", start("item_id", 89, 103))
+    out = baselines.propagate(baselines.adjacency(e), u, i, 3)[0]
+    return out.select("user_id", F.posexplode("v").alias("dim", "x")).select("user_id", *_big("dim"), F.round("x", 6).alias("x"))
 
 
 @query(f"""WITH {S.HISTORIES}, t AS (SELECT item_id, lead(item_id) OVER (PARTITION BY user_id ORDER BY pos) AS next_item FROM seqs WHERE split = 'train'), c AS (SELECT item_id, next_item, count(*) AS n FROM t WHERE next_item IS NOT NULL GROUP BY ALL)

@@ -24,8 +24,8 @@ class WindowConfig:
 @dataclass(frozen=True)
 class TreeConfig:
     clusters: int = 50
-    restarts: int = 3
-    rounds: int = 10
+    restarts: int = 20
+    rounds: int = 300
     min_similarity: float = 0.55
     min_margin: float = 0.02
     keep_ambiguous: bool = False
