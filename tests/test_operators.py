@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -109,7 +110,7 @@ def _segs(spark, seqs):
     return spark.createDataFrame([(u, 0, p, s) for u, q in seqs.items() for p, s in enumerate(q)], "user_id string, seg int, pos int, state_id string")
 
 
-def _direct(seqs, order=3, kappa=5.0):
+def _direct(seqs, order=5, kappa=5.0):
     """Counts, smoothing and divergence by plain recursion."""
     import math
     from collections import defaultdict
@@ -296,7 +297,7 @@ def test_pipelines_end_to_end(spark, tmp_path):
     usable = memories.usable_memories(memories.one_record_per_id(records)).filter("invalid_reason is null").select("memory_id")
     t = pipelines.build_tree(records, vec.join(usable, "memory_id"), TreeConfig(clusters=20, rounds=2, restarts=1, min_similarity=0.2, min_margin=0.0, max_order=2))
     writers.tables(t, str(tmp_path / "tree"))
-    assert contexts.orphans(spark.read.parquet(str(tmp_path / "tree/nodes"))).count() == 0
+    assert contexts.orphans(writers.read_tables(spark, str(tmp_path / "tree"))["nodes"]).count() == 0
     with pytest.raises(ValueError, match="number"):
         pipelines.build_tree(records, vec.limit(3))
     r = p["candidates"].select("user_id", F.lit("native").alias("mode"), F.reverse("candidates").alias("predicted"))
@@ -356,6 +357,62 @@ def test_fold_evolves_texts_and_vectors(spark):
     assert pool.checked_pool(d, 2).count() == 4
 
 
+def test_providers_and_ranked_rows(spark):
+    d = spark.createDataFrame([("u", "native", "p1"), ("u", "tree", "p2")], "user_id string, mode string, prompt string")
+    ok = providers.answered_by(d, lambda ts: ["C02, C01" for _ in ts])
+    bad = providers.answered_by(d.coalesce(1), lambda ts: [*ts, "one more"])
+    assert {r["error"] for r in ok.collect()} == {None} and all("answers" in r["error"] and r["answer"] == "" for r in bad.collect())
+    log = providers.call_log(ok, "rank").collect()
+    assert len({r["call_id"] for r in log}) == 2 and {(r["input_tokens"], r["output_tokens"], r["parse_ok"]) for r in log} == {(1, 2, True)}
+    c = spark.createDataFrame([("u", "b", ["a", "b"])], "user_id string, target string, candidates array<string>")
+    rows = reports.ranked_rows(d, ok, c).collect()
+    assert {(r["mode"], tuple(r["ranking"]), r["rank"], r["complete"]) for r in rows} == {("native", ("b", "a"), 1, True), ("tree", ("b", "a"), 1, True)}
+    said = reports.sample_text(reports.ranked_rows(d, ok, c).join(d, ["user_id", "mode"])).first()["text"]
+    assert "target b at 1" in said and "1. b  <- target" in said
+    e = providers.encoded_by(d, providers.hashed_encoder(8), "prompt").collect()
+    assert all(abs(sum(x * x for x in r["embedding"]) - 1) < 1e-9 for r in e)
+    h = spark.createDataFrame([("u", "x\ny")], "user_id string, history string")
+    tree = spark.createDataFrame([("u", 1, "C001", 0.5, "m", "s", "d")], "user_id string, rank int, state_id string, probability double, mechanism string, scope string, direction string")
+    last = spark.createDataFrame([("v", "m", "s", "d", "t")], "user_id string, mechanism string, scope string, direction string, trajectory_signature string")
+    p = {r["mode"]: r["prompt"] for r in providers.ranking_conditions(c, h, tree, last).collect()}
+    assert set(p) == set(providers.CONDITIONS) and "next state C001" in p["tree"] and "Evidence" not in p["native"] + p["latest_only"] and all("C02: b" in x for x in p.values())
+
+
+def test_candidate_files_override_and_checks_raise(spark):
+    c = spark.createDataFrame([(1, "a", ["a", "b"]), (2, "c", ["c", "d"])], "user_id bigint, target string, candidates array<string>")
+    f = lambda *rows: spark.createDataFrame(list(rows), "user_id string, candidates array<string>")
+    assert {r["user_id"]: r["candidates"] for r in ranking.override_candidates(c, f(("1", ["x", "a"]))).collect()} == {1: ["x", "a"], 2: ["c", "d"]}
+    for bad in (["x"], ["a", "a"], ["a", "x", "x"]):
+        with pytest.raises(ValueError, match="candidate list of 1"):
+            ranking.override_candidates(c, f(("1", bad)))
+    with pytest.raises(ValueError, match="candidate list of 2"):
+        ranking.override_candidates(c, f(("1", ["a"])), required=True)
+    h = spark.createDataFrame([("u", ["a", "b"])], "user_id string, train array<string>")
+    k = lambda x: spark.createDataFrame([("u", x)], "user_id string, cached array<string>")
+    assert ranking.checked_history(k(["a", "b"]), h).count() == 1
+    with pytest.raises(ValueError, match="differs at 2"):
+        ranking.checked_history(k(["a", "x"]), h)
+    seq = spark.createDataFrame([(1, 5, "test"), (2, 6, "test")], "user_id bigint, item_id bigint, split string")
+    neg = spark.createDataFrame([(1, "test", 1, 9)], "user_id bigint, split string, slot int, item_id bigint")
+    assert {r["user_id"]: len(r["candidates"]) for r in ranking.candidate_lists(seq, neg).collect()} == {1: 2, 2: 1}
+
+
+def test_kmeans_modes_and_search_rollup(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, i % 2, (np.eye(4)[i % 4] + 0.05 * r.normal(size=4)).tolist()) for i in range(80)]
+    d = spark.createDataFrame(rows, "id bigint, b int, v array<double>")
+    labels, st = vectors.run_kmeans(d, 4, "id", "v")
+    assert len({(x["cluster_id"], x["id"] % 4) for x in labels.collect()}) == 4 and st.columns == ["cluster_id", "centroid"]
+    labels, _ = vectors.run_kmeans(d, 4, "id", "v", "b")
+    assert len({(x["cluster_id"], x["id"] % 4, x["b"]) for x in labels.collect()}) == 4
+    with pytest.raises(ValueError, match="81 clusters"):
+        vectors.run_kmeans(d, 81, "id", "v")
+    log = spark.createDataFrame([("search", 10, 0.5), ("search", 20, 1.5), ("add", None, 0.1)], "op string, comparisons bigint, seconds double")
+    assert {x["op"]: (x["calls"], x["comparisons"], round(x["mean_ms"])) for x in reports.search_rollup(log).collect()} == {"search": (2, 30, 1000), "add": (1, 0, 100)}
+    t = spark.createDataFrame([("Same-Artist_x",), (" ",), (None,)], "c string")
+    assert [x[0] for x in t.select(text.test_label(F.col("c"))).collect()] == ["same artist x", "", ""]
+
+
 def test_small_helpers(spark):
     assert reports.incompatible({"a": 1, "b": 2}, {"a": 1, "b": 3}, ("a", "b")) == ["b: 2 and 3"]
     p = spark.createDataFrame([("u", 5, 1), ("v", 1, 9), ("w", 3, 2)], "user_id string, rank int, base_rank int")

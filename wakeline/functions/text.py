@@ -62,6 +62,11 @@ def extraction_value(c: Column) -> Column:
     return F.trim(F.translate(F.lower(clean_text(c)), "_", " "))
 
 
+def test_label(c: Column) -> Column:
+    """Test extraction's rule: lower case, `_` and `-` as blanks, squeezed; empty stays empty."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(clean_text(c)), "_-", "  "), " +", " "))
+
+
 def aliased(c: Column, kind: str) -> Column:
     """The label an alias of this kind (mechanism, scope, direction) stands for; others as they are."""
     pairs = [F.lit(x) for kv in ALIASES[kind].items() for x in kv]

@@ -179,3 +179,12 @@ def rank_evidence(queried: DataFrame, profiles: DataFrame) -> DataFrame:
     rows = queried.select("user_id", F.explode("next").alias("x")).select("user_id", "x.rank", "x.state_id", F.round("x.probability", 6).alias("probability"))
     p = profiles.select("state_id", "mechanism", "scope", "direction", F.col("users").alias("support"))
     return rows.join(p, "state_id", "left").select("user_id", "rank", "state_id", "probability", "mechanism", "scope", "direction", "support")
+
+
+def distribution_rows(nodes: DataFrame, counts: DataFrame, texts: DataFrame, top: int = 5, column: str = "smoothed") -> DataFrame:
+    """(ctx, rank, state_id, probability, state_text, mechanism, scope, direction, occurrences, users): the first next states of every context with what is known
+    of the state (texts: state_id, state_text, mechanism, scope, direction) and how often, and for how many users, it followed."""
+    n = counts.groupBy("ctx", F.col("target").alias("state_id")).agg(F.sum("n").alias("occurrences"), F.count("*").alias("users"))
+    d = next_states(nodes, top, column).join(n, ["ctx", "state_id"], "left").join(texts, "state_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return d.select("ctx", "rank", "state_id", "probability", F.coalesce("state_text", F.lit("")).alias("state_text"), "mechanism", "scope", "direction", zero("occurrences"), zero("users"))

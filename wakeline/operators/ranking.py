@@ -28,10 +28,10 @@ def seeded_shuffle(seed: int):
 
 
 def candidate_lists(sequences: DataFrame, negatives: DataFrame, seed: int = 42) -> DataFrame:
-    """(user_id, target, candidates): the test item and the user's test negatives, shuffled by the seed and the user. Lists are of 1 + negatives a user."""
+    """(user_id, target, candidates): the test item and the user's test negatives, shuffled by the seed and the user; a user without negatives has the target alone. Lists are of 1 + negatives a user."""
     target = sequences.filter("split = 'test'").select("user_id", F.col("item_id").cast("string").alias("target"))
     neg = negatives.filter("split = 'test'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col("item_id").cast("string").alias("i")))), lambda x: x["i"]).alias("neg"))
-    both = target.join(neg, "user_id").withColumn("all", F.concat(F.array("target"), "neg"))
+    both = target.join(neg, "user_id", "left").withColumn("all", F.concat(F.array("target"), F.coalesce("neg", F.array().cast("array<string>"))))
     return both.select("user_id", "target", seeded_shuffle(seed)(F.col("user_id").cast("string"), F.col("all")).alias("candidates"))
 
 
@@ -129,3 +129,23 @@ def candidate_cache(cached: DataFrame, current: DataFrame) -> DataFrame:
     if same_candidates(cached, current).limit(1).count():
         raise ValueError("cached candidates differ from the current ones")
     return cached.unionByName(current.join(cached.select("user_id"), "user_id", "left_anti").select(*cached.columns))
+
+
+def override_candidates(computed: DataFrame, given: DataFrame, required: bool = False) -> DataFrame:
+    """computed (user_id, target, candidates) with the lists of a file (user_id, candidates) in place of the computed ones. A given list with repeats or
+    without its user's target exactly once raises; so does a user without one, where required."""
+    g = given.select(F.col("user_id").cast("string").alias("_u"), F.col("candidates").alias("_c"))
+    d = computed.withColumn("_u", F.col("user_id").cast("string")).join(g, "_u", "left")
+    held = F.size(F.filter("_c", lambda c: c == F.col("target")))
+    bad = d.filter((F.col("_c").isNotNull() & ((held != 1) | (F.size(F.array_distinct("_c")) != F.size("_c")))) | (F.lit(required) & F.col("_c").isNull()))
+    if (r := bad.select("user_id").limit(1).collect()):
+        raise ValueError(f"candidate list of {r[0][0]}: missing, repeated, or without the target exactly once")
+    return d.select("user_id", "target", F.coalesce("_c", "candidates").alias("candidates"))
+
+
+def checked_history(cache: DataFrame, histories: DataFrame, limit: int | None = None) -> DataFrame:
+    """The cache, if every cached history is the current one; else raises with the first user and place that differ."""
+    bad = history_identity(cache, histories, limit).filter("not same").limit(1).collect()
+    if bad:
+        raise ValueError(f"history of {bad[0]['user_id']} differs at {bad[0]['first_difference']}")
+    return cache

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.operators import ranking
+
 
 def call_rollup(calls: DataFrame) -> DataFrame:
     """(call_type, calls, input_tokens, output_tokens, seconds, mean_seconds, failed), each call_id once."""
@@ -86,3 +90,35 @@ def debug_rows(pairs: DataFrame, mode: str, most: int, seed: int = 42) -> DataFr
 def incompatible(stored: dict, now: dict, keys: tuple[str, ...]) -> list[str]:
     """Settings under which an output was written that differ from those of now; a run that resumes raises on any."""
     return [f"{k}: {stored.get(k)!r} and {now.get(k)!r}" for k in keys if stored.get(k) != now.get(k)]
+
+
+def settings_differ(stored: DataFrame, now: dict, keys: tuple[str, ...]) -> list[str]:
+    """`incompatible` against the last row of stored run settings (written_at, stats), as writers.run_stats leaves them; none stored, none differ."""
+    last = stored.orderBy(F.desc("written_at")).select("stats").first()
+    return incompatible(json.loads(last["stats"]), json.loads(json.dumps(now, default=str)), keys) if last else []
+
+
+def user_state_counts(assignments: DataFrame) -> DataFrame:
+    """(user_id, states): how many different states each user's accepted memories are in."""
+    return assignments.filter(F.coalesce("assignment_accepted", F.lit(False)) & F.col("user_id").isNotNull()).groupBy("user_id").agg(F.countDistinct("state_id").alias("states"))
+
+
+def search_rollup(log: DataFrame) -> DataFrame:
+    """(op, calls, comparisons, mean_ms) of search, add and update rows (op, comparisons, seconds)."""
+    return log.groupBy("op").agg(F.count("*").alias("calls"), F.coalesce(F.sum("comparisons"), F.lit(0)).alias("comparisons"), (F.avg("seconds") * 1000).alias("mean_ms"))
+
+
+def sample_text(row: DataFrame) -> DataFrame:
+    """(user_id, text): a ranked user as text to read, from (user_id, mode, target, ranking, prompt)."""
+    place = F.coalesce(F.nullif(F.array_position("ranking", F.col("target")), F.lit(0)).cast("string"), F.lit("none"))
+    listed = F.array_join(F.transform("ranking", lambda x, i: F.format_string("%2d. %s%s", i + 1, x, F.when(x == F.col("target"), F.lit("  <- target")).otherwise(F.lit("")))), "\n")
+    head = F.format_string("user %s, condition %s, target %s at %s", F.col("user_id").cast("string"), "mode", "target", place)
+    return row.select("user_id", F.concat_ws("\n", head, listed, F.lit("--- prompt"), F.coalesce("prompt", F.lit(""))).alias("text"))
+
+
+def ranked_rows(prompts: DataFrame, answered: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The output row of each ranked user and condition: (user_id, mode, target, candidates, ranking, rank, complete, reason) from labelled answers (user_id, mode, answer)."""
+    d = prompts.select("user_id", "mode").join(answered.select("user_id", "mode", "answer"), ["user_id", "mode"], "left").join(candidates.select("user_id", "target", "candidates"), "user_id")
+    d = d.withColumn("p", ranking.parse_labels(F.col("answer"), F.size("candidates")))
+    d = d.withColumn("ranking", F.transform("p.positions", lambda i: F.element_at("candidates", i)))
+    return d.select("user_id", "mode", "target", "candidates", "ranking", ranking.target_rank(F.col("ranking"), F.col("target")).alias("rank"), F.col("p.complete").alias("complete"), F.col("p.reason").alias("reason"))

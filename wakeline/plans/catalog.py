@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import text
-from wakeline.operators import baselines, contexts, memories, order, pool, prep, providers, ranking, reports, segments, states, vectors, windows
+from wakeline.operators import baselines, contexts, items, memories, order, pool, prep, providers, ranking, reports, segments, states, vectors, windows
 from wakeline.plans import sql as S
 from wakeline.plans import tables as T
+from wakeline.sources import readers
 from wakeline.storage import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -413,9 +414,10 @@ def evolution_stats(spark, sf):
 
 
 @query(f"""WITH {S.RECORDS}, x AS (SELECT 'mechanism' AS field, mech AS value FROM usable UNION ALL SELECT 'scope', scp FROM usable UNION ALL SELECT 'direction', dir FROM usable
-UNION ALL SELECT 'parse_ok', coalesce(parse_ok::VARCHAR, 'null') FROM usable) SELECT field, value, count(*) AS n FROM x GROUP BY ALL""")
+UNION ALL SELECT 'parse_ok', coalesce(parse_ok::VARCHAR, 'null') FROM usable
+ UNION ALL SELECT 'focus', unnest(list_filter(list_transform(coalesce(semantic_focus, keywords, []), lambda x: {S.clean("x")}), lambda y: y <> '')[1:12]) FROM usable) SELECT field, value, count(*) AS n FROM x GROUP BY ALL""")
 def behavior_summary(spark, sf):
-    return reports.behavior_summary(T.usable(spark, sf)).filter("field <> 'focus'")
+    return reports.behavior_summary(T.usable(spark, sf))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------
@@ -581,9 +583,27 @@ def candidate_lists(spark, sf):
     return _candidates(spark, sf)[1].select("user_id", "target", F.array_join("candidates", ",").alias("candidates"))
 
 
-@query("SELECT 0 AS user_id, 0 AS size, 0 AS unique_size, 0 AS targets WHERE false")
+@query(f"""{_NEG.replace("SELECT user_id, split, slot::BIGINT AS slot, item_id FROM slots WHERE slot <= 19", "")}, tgt AS (SELECT user_id, item_id FROM seqs WHERE split = 'test'), every AS (SELECT user_id, item_id::VARCHAR AS i FROM tgt UNION ALL SELECT user_id, item_id::VARCHAR FROM slots WHERE slot <= 19 AND split = 'test')
+SELECT user_id, any_value(tgt.item_id)::VARCHAR AS target, count(*) AS size, string_agg(i, ',' ORDER BY i) AS members FROM every JOIN tgt USING (user_id) GROUP BY user_id""")
+def candidate_members(spark, sf):
+    """The candidate lists as sets: their order comes from Python's generator."""
+    c = _candidates(spark, sf)[1]
+    return c.select("user_id", "target", F.size("candidates").cast("bigint").alias("size"), F.array_join(F.array_sort("candidates"), ",").alias("members"))
+
+
+@query(f"""WITH {S.HISTORIES}, u AS (SELECT DISTINCT user_id, user_id % 5 AS k FROM hist) SELECT user_id, CASE k WHEN 0 THEN 19 ELSE 21 END::BIGINT AS size, CASE k WHEN 0 THEN 19 WHEN 1 THEN 20 ELSE 21 END::BIGINT AS unique_size, CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS targets FROM u WHERE k < 3""")
 def candidate_violations(spark, sf):
-    return ranking.candidate_violations(_candidates(spark, sf)[1])
+    """Three users in five get a broken list: without the target, with it twice, with one item too many."""
+    c, k = _candidates(spark, sf)[1], F.col("user_id") % 5
+    target = F.array("target")
+    broken = F.when(k == 0, F.array_except("candidates", target)).when(k == 1, F.concat("candidates", target)).when(k == 2, F.concat("candidates", F.array(F.lit("one more")))).otherwise(F.col("candidates"))
+    return ranking.candidate_violations(c.withColumn("candidates", broken)).select("user_id", *_big("size", "unique_size", "targets"))
+
+
+@query(f"WITH {S.HISTORIES} SELECT DISTINCT user_id, 20::BIGINT AS size FROM hist")
+def candidate_cache_filled(spark, sf):
+    c = keep(_candidates(spark, sf)[1], "candidates").select("user_id", "candidates")
+    return ranking.candidate_cache(c.filter("user_id % 2 = 0"), c).select("user_id", F.size("candidates").cast("bigint").alias("size"))
 
 
 _LAST = f"""WITH {S.HISTORIES}, t AS (SELECT user_id, list(item_id::VARCHAR ORDER BY pos) AS train FROM seqs WHERE split = 'train' GROUP BY 1), c AS (SELECT user_id, train, train[greatest(len(train) - 4, 1) : len(train)] AS last5 FROM t)"""
@@ -751,18 +771,21 @@ def extraction_prompts(spark, sf):
     return w.select("user_id", *_big("window_index"), providers.extraction_prompt(F.col("interaction_sequence")).alias("prompt"))
 
 
-@query(f"""WITH {S.HISTORIES}, h AS (SELECT user_id, count(*) AS n FROM seqs WHERE split = 'train' GROUP BY 1) SELECT count(*) AS users, min(n)::BIGINT AS min_history, max(n)::BIGINT AS max_history, 0::BIGINT AS targets_in_history FROM h""")
+@query(f"""WITH {S.HISTORIES}, h AS (SELECT user_id, count(*) AS n FROM seqs WHERE split = 'train' GROUP BY 1) SELECT count(*) AS users, min(n)::BIGINT AS min_history, max(n)::BIGINT AS max_history, (SELECT count(*) FROM seqs a JOIN seqs b USING (user_id) WHERE user_id % 3 = 0 AND a.split = 'test' AND b.split = 'train' AND b.pos = a.pos - 2)::BIGINT AS targets_in_history FROM h""")
 def protocol_summary(spark, sf):
     s = T.sequences(spark, sf).withColumn("item_id", F.col("item_id").cast("string"))
     h = s.filter("split = 'train'").groupBy("user_id").agg(F.collect_list("item_id").alias("train"))
-    return reports.protocol_summary(h, s.filter("split = 'test'").select("user_id", F.col("item_id").alias("target"))).select(*_big("users", "min_history", "max_history", "targets_in_history"))
+    # a third of the users are given their last training item as target, which must be noticed
+    late = s.groupBy("user_id").agg(F.max("pos").alias("last"))
+    target = s.join(late, "user_id").filter(F.col("pos") == F.col("last") - F.when(F.col("user_id") % 3 == 0, 2).otherwise(0)).select("user_id", F.col("item_id").alias("target"))
+    return reports.protocol_summary(h, target).select(*_big("users", "min_history", "max_history", "targets_in_history"))
 
 
-@query(f"""{_RANKS}, p AS (SELECT a.user_id, a.rank, b.rank AS base_rank FROM ranks a JOIN ranks b USING (user_id) WHERE a.mode = 'popularity' AND b.mode = 'oldest')
+@query(f"""{_RANKS}, p AS (SELECT a.user_id, a.rank, 11 - b.rank AS base_rank FROM ranks a JOIN ranks b USING (user_id) WHERE a.mode = 'popularity' AND b.mode = 'oldest')
 SELECT user_id, rank::BIGINT AS rank, base_rank::BIGINT AS base_rank, (rank - base_rank)::BIGINT AS drop FROM p WHERE rank > base_rank ORDER BY rank - base_rank DESC, user_id LIMIT 20""")
 def largest_drops(spark, sf):
     r = keep(_ranks(spark, sf), "ranks")
-    p = r.filter("mode = 'popularity'").select("user_id", "rank").join(r.filter("mode = 'oldest'").select("user_id", F.col("rank").alias("base_rank")), "user_id")
+    p = r.filter("mode = 'popularity'").select("user_id", "rank").join(r.filter("mode = 'oldest'").select("user_id", (11 - F.col("rank")).alias("base_rank")), "user_id")
     return reports.debug_rows(p, "largest_drop", 20).select("user_id", *_big("rank", "base_rank", "drop"))
 
 
@@ -783,3 +806,108 @@ def mapping_diagnostics(spark, sf):
 def tree_rank_evidence(spark, sf):
     q = contexts.query_tree(T.nodes(spark, sf), segments.latest_suffix(T.assignments(spark, sf)))
     return contexts.rank_evidence(q, states.state_profiles(T.state_members(spark, sf)))
+
+
+# --- operators that stand beside the pipeline ------------------------------------------------------------------------
+
+
+@query(f"WITH {S.SEGMENTS} SELECT user_id, count(DISTINCT state_id) AS states FROM asg WHERE coalesce(assignment_accepted, false) AND user_id IS NOT NULL GROUP BY 1")
+def user_state_counts(spark, sf):
+    return reports.user_state_counts(T.assignments(spark, sf))
+
+
+@query(f"""WITH {_MEMBERS}, c AS (SELECT state_id, sign, count(*) AS n, min(i) AS first FROM mem WHERE sign IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY n DESC, first, sign) AS r FROM c)
+SELECT state_id, sign AS signature, n FROM r WHERE r = 1""")
+def state_signatures(spark, sf):
+    m = T.state_members(spark, sf).withColumn("signs", F.array("trajectory_signature"))
+    return states.top_terms(m, "signs", 1).select("state_id", F.col("term").alias("signature"), "n")
+
+
+@query(f"""WITH {_MEMBERS}, x AS (SELECT state_id, 'mechanism=' || mech || '; scope=' || scp || '; direction=' || dir || '; trajectory=' || sign AS t, i FROM mem), c AS (SELECT state_id, t, min(i) AS first FROM x GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY first, t) AS r FROM c)
+SELECT state_id, string_agg(t, ' / ' ORDER BY r) AS texts FROM r WHERE r <= 12 GROUP BY 1""")
+def state_cluster_texts(spark, sf):
+    return states.first_texts(T.state_members(spark, sf), "cluster_text", 12).select("state_id", F.array_join("texts", " / ").alias("texts"))
+
+
+@query(f"""WITH {S.RECORDS}, {S.SMOOTHED}, mem AS (SELECT a.state_id, coalesce(a.assignment_accepted, false) AS ok, u.mech, u.scp, u.dir, u.precompute_id AS i FROM usable u JOIN asg a USING (memory_id)),
+okay AS (SELECT state_id, bool_or(ok) AS any_ok FROM mem GROUP BY 1), v AS (SELECT m.* FROM mem m JOIN okay USING (state_id) WHERE m.ok OR NOT any_ok), pr AS (SELECT state_id, mech, scp, dir, count(*) AS votes, min(i) AS first FROM v GROUP BY ALL),
+tx AS (SELECT state_id, mech, scp, dir FROM (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY votes DESC, first) AS r FROM pr) WHERE r = 1),
+o AS (SELECT ctx, target, p, row_number() OVER (PARTITION BY ctx ORDER BY round(p, 12) DESC, target) AS rank FROM smooth)
+SELECT o.ctx, o.rank::BIGINT AS rank, o.target AS state_id, round(o.p, 6) AS probability, coalesce('mechanism=' || mech || '; scope=' || scp || '; direction=' || dir, '') AS state_text, coalesce(w.occurrences, 0)::BIGINT AS occurrences, coalesce(w.users, 0)::BIGINT AS users
+FROM o LEFT JOIN w ON w.ctx = o.ctx AND w.target = o.target LEFT JOIN tx ON tx.state_id = o.target WHERE o.rank <= 5""")
+def state_distributions(spark, sf):
+    p = states.state_profiles(T.state_members(spark, sf)).select("state_id", text.profile_text(F.col("mechanism"), F.col("scope"), F.col("direction")).alias("state_text"), "mechanism", "scope", "direction")
+    c = T.counts(spark, sf)
+    d = contexts.distribution_rows(contexts.contexts(c), c, p)
+    return d.select(_ctx(), *_big("rank"), "state_id", F.round("probability", 6).alias("probability"), "state_text", *_big("occurrences", "users"))
+
+
+@query(f"""WITH {S.CONTEXTS} SELECT count_if(ord = 0)::BIGINT AS roots, count(*) AS contexts, count_if(ord > 0 AND NOT EXISTS (SELECT 1 FROM node p WHERE p.ctx = node.parent AND p.ord = node.ord - 1))::BIGINT AS orphans FROM node""")
+def tree_checks(spark, sf):
+    n = contexts.checked_nodes(T.nodes(spark, sf))
+    return n.agg(F.count_if(F.size("ctx") == 0).alias("roots"), F.count("*").alias("contexts")).crossJoin(contexts.orphans(n).agg(F.count("*").alias("orphans")))  # one row each
+
+
+@query(f"WITH {S.CONTEXTS} SELECT ctx, target, least(sum(n), 4)::BIGINT AS kept FROM cnt GROUP BY ALL")
+def evidence_samples(spark, sf):
+    obs = contexts.observations(T.segs(spark, sf)).withColumn("i", F.monotonically_increasing_id())
+    return contexts.evidence_sample(obs, 4, "user_id", "i").groupBy("ctx", "target").agg(F.count("*").alias("kept")).select(_ctx(), "target", "kept")
+
+
+@query(f"""WITH {S.HISTORIES}, us AS (SELECT DISTINCT user_id FROM hist WHERE user_id % 2 = 1), ord AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS ordinal FROM us) SELECT user_id, ordinal::BIGINT AS ordinal FROM ord WHERE ordinal >= 5 AND ordinal < 105""")
+def selected_users(spark, sf):
+    h = T.histories(spark, sf).select("user_id", F.col("user_id").alias("ordinal"))
+    return readers.selected_users(h, available=h.filter("user_id % 2 = 1").select("user_id").distinct(), start=5, limit=100).select("user_id", *_big("ordinal"))
+
+
+@query(f"WITH {_CHUNKS} SELECT user_id, window_index::BIGINT AS window_index FROM chunk WHERE window_index % 2 = 1")
+def pending_windows(spark, sf):
+    w = windows.chunk_windows(T.sequences(spark, sf), T.info(spark, sf)).select("user_id", "window_index")
+    return memories.pending(w, w.filter("window_index % 2 = 0"), ["user_id", "window_index"]).select("user_id", *_big("window_index"))
+
+
+@query(f"""WITH {S.RECORDS}, {S.SEGMENTS}, inc AS (SELECT DISTINCT user_id FROM asg WHERE assignment_accepted), exc AS (SELECT user_id FROM asg WHERE NOT coalesce(assignment_accepted, false) GROUP BY 1 HAVING count(*) > 1)
+SELECT memory_id FROM usable WHERE user_id IN (SELECT user_id FROM inc WHERE user_id IS NOT NULL) AND user_id NOT IN (SELECT user_id FROM exc WHERE user_id IS NOT NULL)""")
+def memories_of_users(spark, sf):
+    a = T.assignments(spark, sf)
+    bad = a.filter(~F.coalesce("assignment_accepted", F.lit(False))).groupBy("user_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return memories.usable_memories(T.records(spark, sf), a.filter("assignment_accepted"), bad).filter("invalid_reason is null").select("memory_id")
+
+
+_CACHE = """WITH rec AS (SELECT DISTINCT ON (precompute_id) * FROM local_memory WHERE precompute_id IS NOT NULL)"""
+
+
+def _cache_rows(spark, sf):
+    d = T.records(spark, sf)
+    return d.select("user_id", F.col("parse_ok").alias("precompute_ok"), F.when(F.col("mechanism").isNotNull(), F.array(F.struct("window_index", "mechanism"))).otherwise(F.array().cast("array<struct<window_index:int,mechanism:string>>")).alias("generated_behaviors"), F.col("precompute_id").alias("file_pos"))
+
+
+@query(f"{_CACHE} SELECT user_id, max(precompute_id) AS file_pos FROM rec WHERE parse_ok AND mechanism IS NOT NULL GROUP BY 1")
+def behavior_cache(spark, sf):
+    return memories.behavior_cache(_cache_rows(spark, sf)).select("user_id", "file_pos")
+
+
+@query(f"{_CACHE} SELECT DISTINCT user_id FROM rec WHERE parse_ok IS DISTINCT FROM false AND mechanism IS NOT NULL")
+def successful_users(spark, sf):
+    return memories.successful_users(_cache_rows(spark, sf))
+
+
+@query("SELECT DISTINCT coalesce(nullif(trim(item_id), ''), nullif(trim(title), '')) AS id FROM items")
+def catalogue_ids(spark, sf):
+    return T.read(spark, sf, "items").select(items.catalogue_id(F.col("item_id"), F.col("title")).alias("id")).distinct()
+
+
+@query("SELECT DISTINCT thought_id FROM global_memory WHERE embedding IS NOT NULL AND len(embedding) <> 64")
+def dimension_violations(spark, sf):
+    return pool.dimension_violations(T.read(spark, sf, "global_memory"), 64).distinct()
+
+
+@query(f"""WITH {S.HISTORIES} SELECT user_id, mode, 20::BIGINT AS listed FROM (SELECT DISTINCT user_id FROM hist), (VALUES ('tree'), ('latest_only'), ('native')) m(mode)""")
+def ranking_prompts(spark, sf):
+    """Prompts of the three ranking conditions, with what the tree and the latest records say of users known to both."""
+    c = _candidates(spark, sf)[1].withColumn("user_id", F.col("user_id").cast("string"))
+    h = prep.last_n(T.sequences(spark, sf), 10).select(F.col("user_id").cast("string").alias("user_id"), F.array_join(F.col("items").cast("array<string>"), "\n").alias("history"))
+    q = contexts.query_tree(T.nodes(spark, sf), segments.latest_suffix(T.assignments(spark, sf)))
+    tree = contexts.rank_evidence(q, states.state_profiles(T.state_members(spark, sf)))
+    p = providers.ranking_conditions(c, h, tree, memories.latest_behavior(T.usable(spark, sf)))
+    return p.select(F.col("user_id").cast("bigint").alias("user_id"), "mode", F.regexp_count("prompt", F.lit(r"(?m)^C\d\d: ")).cast("bigint").alias("listed"))

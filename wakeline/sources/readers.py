@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import posixpath
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +67,12 @@ def items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines; a bad line is skipped, or raises where strict."""
-    return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+    """JSON lines; a bad line, or one whose values have other types, is skipped whatever columns are read later, or raises where strict. Blank lines are none."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if strict:
+        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+    x = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return lines.select(x.alias("x")).filter("x is not null and x._bad is null").select("x.*").drop("_bad")
 
 
 def user_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -88,8 +93,10 @@ _CANDIDATE = "struct<user_id:string,uid:string,user:string,candidates:array<stri
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, candidates, target) of an object by user, a list, or JSON lines."""
+    """(user_id, candidates, target array<string>) of an object by user, the same under `users`, a list, or JSON lines; a target may be an id or a list of them."""
     whole = spark.read.text(path, wholetext=True).withColumn("t", F.trim("value"))
+    under = F.get_json_object("t", "$.users")
+    whole = whole.withColumn("t", F.when(F.substring("t", 1, 1).eqNullSafe("{") & under.isNotNull() & F.get_json_object("t", "$.candidates").isNull(), under).otherwise(F.col("t")))
     head = whole.select(F.substring("t", 1, 1).alias("c"), F.expr("try_parse_json(t) is not null").alias("ok")).first()
     uid = lambda s: F.coalesce(s["user_id"], s["uid"], s["user"])
     if head["c"] == "[":
@@ -98,16 +105,28 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         d = whole.select(F.explode(F.from_json("t", f"map<string,{_CANDIDATE}>")).alias("k", "x")).select(F.coalesce("k", uid(F.col("x"))).alias("user_id"), "x.candidates", "x.target")
     else:
         d = spark.read.text(path).select(F.from_json("value", _CANDIDATE).alias("x")).filter("x is not null").select(uid(F.col("x")).alias("user_id"), "x.candidates", "x.target")
-    return d.filter("user_id is not null and candidates is not null")
+    target = F.when(F.substring("target", 1, 1) == "[", F.from_json("target", "array<string>")).when(F.col("target").isNotNull(), F.array("target"))
+    return d.filter("user_id is not null and candidates is not null").withColumn("target", target)
 
 
-def vectors(spark: SparkSession, path: str, expected: int | None = None, ids: list | None = None) -> DataFrame:
-    """Vectors from Parquet, or (row, embedding) from a .npy matrix on a mounted path; a wrong number of rows raises."""
+def vectors(spark: SparkSession, path: str, expected: int | None = None, ids: DataFrame | None = None, rows_per_task: int = 50_000) -> DataFrame:
+    """Vectors from Parquet, or (row, embedding) from a .npy matrix on a path all executors have mounted: the driver reads its header, tasks their ranges of rows. ids
+    (row, id) names the rows, as `row`. A wrong number of rows raises."""
     if path.endswith(".npy"):
         import numpy as np
 
-        m = np.load(Path(path.removeprefix("file://")), mmap_mode="r")
-        d = spark.createDataFrame([(ids[i] if ids else i, [float(x) for x in r]) for i, r in enumerate(m)], "row bigint, embedding array<float>")
+        at = path.removeprefix("file://")
+        n = len(np.load(at, mmap_mode="r"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = np.load(at, mmap_mode="r")
+            for b in batches:
+                rows = b.column(0).to_numpy()
+                yield pa.record_batch([b.column(0), pa.array(list(np.asarray(m[rows], np.float32)), pa.list_(pa.float32()))], names=["row", "embedding"])
+
+        d = spark.range(0, n, 1, max(1, -(-n // rows_per_task))).mapInArrow(run, "row bigint, embedding array<float>")
+        if ids is not None:
+            d = d.join(ids.select("row", "id"), "row").select(F.col("id").alias("row"), "embedding")
     else:
         d = spark.read.parquet(path)
     if expected is not None and (n := d.count()) != expected:

@@ -1,7 +1,7 @@
 """Beyond the batch pipeline: state transitions counted on a stream, and streamed appends that resume.
 
-The stream carries assignments in window order per user; the state kept for a user is the last accepted state (or none after a
-rejection), so its size doesn't grow with the history.
+The stream carries assignments in about the order of time; rows up to a stated delay late are held back and put in their place. Kept for a user are
+the rows that still wait and the last accepted state (or none after a rejection), so it doesn't grow with the history.
 """
 
 from __future__ import annotations
@@ -11,31 +11,46 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, window = state.get if state.exists else (None, -1)
-    out = []
-    rows = pd.concat(list(batches)).sort_values(["window_index", "memory_id"])
-    for r in rows.itertuples():
-        if r.window_index <= window:  # a row sent again
-            continue
-        window = int(r.window_index)
-        if not r.assignment_accepted:
-            last = None
-            continue
-        if last is not None:
-            out.append((key[0], window, last, r.state_id))
-        last = r.state_id
-    state.update((last, window))
-    yield pd.DataFrame(out, columns=["user_id", "window_index", "state_id", "next_state"])
-
-
-def stream_transitions(assignments: DataFrame) -> DataFrame:
-    """(user_id, window_index, state_id, next_state) of a streaming DataFrame of assignments: rejected memories break a segment. A row whose
-    window is not past the user's last one is taken as sent again and dropped."""
-    rows = assignments.select("user_id", "memory_id", "window_index", "state_id", F.coalesce("assignment_accepted", F.lit(False)).alias("assignment_accepted")).dropna()
-    return rows.groupBy("user_id").applyInPandasWithState(_step, "user_id string, window_index int, state_id string, next_state string", "last string, window int", "append", "NoTimeout")
+def _stepper():
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, window, ids, windows, states, oks, times = state.get if state.exists else (None, -1, [], [], [], [], [])
+        waiting = {m: (int(w), m, s, bool(o), int(t)) for m, w, s, o, t in zip(ids, windows, states, oks, times, strict=True)}
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for d in batches:
+                for r in d.itertuples():
+                    if r.window_index > window:  # else its place has been given out: sent again, or later than the delay
+                        waiting.setdefault(r.memory_id, (int(r.window_index), r.memory_id, r.state_id, bool(r.assignment_accepted), int(r.at.timestamp() * 1000)))
+        out, rest = [], []
+        for w, m, s, ok, t in sorted(waiting.values()):
+            if rest or t > mark:  # a row waits for the watermark, and with it all rows behind it
+                rest.append((m, w, s, ok, t))
+                continue
+            if ok and last is not None:
+                out.append((key[0], w, last, s))
+            last, window = s if ok else None, w
+        cols = [list(c) for c in zip(*rest, strict=True)] if rest else [[], [], [], [], []]
+        state.update((last, window, *cols))
+        if rest:
+            state.setTimeoutTimestamp(max(mark + 1, min(r[4] for r in rest)))
+        yield pd.DataFrame(out, columns=["user_id", "window_index", "state_id", "next_state"])
+
+    return step
+
+
+_STATE = "last string, window int, ids array<string>, windows array<int>, states array<string>, oks array<boolean>, times array<bigint>"
+
+
+def stream_transitions(assignments: DataFrame, late: str = "0 seconds", at: str = "assigned_at") -> DataFrame:
+    """(user_id, window_index, state_id, next_state) of a streaming DataFrame of assignments: rejected memories break a segment.
+
+    A row waits until the watermark, `late` behind the newest `at`, has passed it, and is then taken in order of its window; a memory sent again counts once.
+    Rows that come after their place has been given out are dropped: how late they may be is `late`. What waits comes out as the stream goes on."""
+    rows = assignments.select("user_id", "memory_id", "window_index", "state_id", F.coalesce("assignment_accepted", F.lit(False)).alias("assignment_accepted"), F.col(at).cast("timestamp").alias("at")).dropna()
+    return rows.withWatermark("at", late).groupBy("user_id").applyInPandasWithState(_stepper(), "user_id string, window_index int, state_id string, next_state string", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_calls(calls: DataFrame, size: str = "1 hour", late: str = "2 days") -> DataFrame:
