@@ -397,6 +397,14 @@ def test_candidate_files_override_and_checks_raise(spark):
     assert {r["user_id"]: len(r["candidates"]) for r in ranking.candidate_lists(seq, neg).collect()} == {1: 2, 2: 1}
 
 
+def test_answers_in_lists_and_signatures(spark):
+    d = spark.createDataFrame([('[{"a": "x"}, {"a": "y"}]',), ('[1, {"a": "z"}]',), ("```json\n[{\"a\": \"f\"}]\n```",), ('so {"a": "w"} it is',), ("[]",), ("no",), (None,)], "t string")
+    assert [r["x"]["a"] if r["x"] else None for r in d.select(memories.parsed_response(F.col("t"), "a string").alias("x")).collect()] == ["x", "z", "f", "w", None, None, None]
+    s = spark.createDataFrame([("a", "b"), ("", "b"), (None, "b")], "s string, alias string")
+    for rule, want in (("builder", ["a", "b", "b"]), ("inference", ["a", "", "b"])):
+        assert [r[0] for r in s.select(text.trajectory(F.col("s"), F.col("alias"), rule)).collect()] == want
+
+
 def test_kmeans_modes_and_search_rollup(spark):
     r = np.random.default_rng(1)
     rows = [(i, i % 2, (np.eye(4)[i % 4] + 0.05 * r.normal(size=4)).tolist()) for i in range(80)]

@@ -109,3 +109,15 @@ def test_settings_are_stored_and_checked(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "r"))
     assert reports.settings_differ(stored, {"seed": 2, "k": 6}, ("seed", "k")) == ["k: 5 and 6"]
     assert reports.settings_differ(stored.limit(0), {"seed": 9}, ("seed",)) == []
+
+
+def test_written_tables_are_discarded(spark, tmp_path):
+    from pathlib import Path
+
+    from wakeline import storage
+
+    storage.discard(spark)
+    d = storage.keep(spark.range(3), "some")
+    at = Path(storage._written[-1].removeprefix("file://").replace("file:", ""))
+    assert d.count() == 3 and at.exists()
+    assert storage.discard(spark) == 1 and not at.exists() and storage.discard(spark) == 0

@@ -77,9 +77,9 @@ def profile_label(c: Column, kind: str, rule: str = "builder") -> Column:
     return aliased((behavior_value if rule == "builder" else label_value)(c), kind)
 
 
-def trajectory(signature: Column, alias: Column) -> Column:
-    """The trajectory signature, or its alias where it is null or ''."""
-    return clean_text(F.coalesce(F.nullif(signature, F.lit("")), alias))
+def trajectory(signature: Column, alias: Column, rule: str = "builder") -> Column:
+    """The trajectory signature, or its alias where it is null, or (builder's rule only) ''."""
+    return clean_text(F.coalesce(F.nullif(signature, F.lit("")) if rule == "builder" else signature, alias))
 
 
 def profile_text(mechanism: Column, scope: Column, direction: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 from pyspark.sql.window import Window
 
 from wakeline.functions.jsons import json_body
@@ -47,7 +48,7 @@ def usable_memories(records: DataFrame, include: DataFrame | None = None, exclud
         d = d.join(include.select("user_id").distinct(), "user_id", "left_semi")
     if exclude is not None:
         d = d.join(exclude.select("user_id").distinct(), "user_id", "left_anti")
-    sign = trajectory(F.col("trajectory_signature"), F.col("behavior_signature"))
+    sign = trajectory(F.col("trajectory_signature"), F.col("behavior_signature"), rule)
     focus = F.coalesce("semantic_focus", "keywords", F.array().cast("array<string>"))
     focus = F.slice(F.filter(F.transform(focus, clean_text), lambda s: s != ""), 1, 12)
     out = d.withColumns(
@@ -112,7 +113,7 @@ def recent_evidence(records: DataFrame, n: int = 3) -> DataFrame:
     """(user_id, evidence): the last n windows' behaviours, oldest first, in compact form. A top-n window, so lists stay short."""
     w = Window.partitionBy("user_id").orderBy(F.desc("window_index"), F.desc("precompute_id"))
     top = records.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
-    e = F.struct("window_index", "recommendation_behavior", "mechanism", "scope", "direction", "trajectory_signature")
+    e = F.struct("window_index", "recommendation_behavior", "semantic_focus", "trajectory_signature", "behavior_signature", "mechanism", "scope", "direction", "confidence")
     return top.groupBy("user_id").agg(F.array_sort(F.collect_list(e)).alias("evidence"))
 
 
@@ -130,8 +131,12 @@ def successful_users(rows: DataFrame, ok: str = "precompute_ok", behaviors: str
 
 
 def parsed_response(c: Column, ddl: str) -> Column:
-    """A model's answer as a struct of `ddl`: fences stripped, outermost braces; null where it is no JSON."""
-    return F.from_json(json_body(c), ddl)
+    """A model's answer as a struct of `ddl`: fences stripped, outermost braces; of a list its first object; null where it is no JSON, or holds no object."""
+    kind = StructType.fromDDL(ddl)
+    bare = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)^\s*```[A-Za-z]*\s*|\s*```\s*$", ""))
+    listed = F.from_json(bare, ArrayType(StringType()))
+    objects = F.filter(listed, lambda x: F.substring(F.trim(x), 1, 1) == "{")
+    return F.when(F.substring(bare, 1, 1) == "[", F.from_json(F.try_element_at(objects, F.lit(1)), kind)).otherwise(F.from_json(json_body(c), kind))
 
 
 def fallback_record(records: DataFrame) -> DataFrame:

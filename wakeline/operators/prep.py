@@ -66,10 +66,11 @@ def last_n(sequences: DataFrame, n: int) -> DataFrame:
 
 
 def train_vocabulary(catalogue: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(item_id string, source, first_seen): catalogue ids first, then ids seen in training only; each once, where first seen."""
-    a = catalogue.select(F.col("item_id").cast("string").alias("item_id"), F.lit(0).alias("source"), F.lit(0).cast("long").alias("first_seen"))
-    b = sequences.filter("split = 'train'").select(F.col("item_id").cast("string").alias("item_id"), F.lit(1).alias("source"), F.col("pos").cast("long").alias("first_seen"))
-    return a.unionByName(b).groupBy("item_id").agg(F.min(F.struct("source", "first_seen")).alias("m")).select("item_id", "m.source", "m.first_seen")
+    """(item_id string, source, first_user, first_seen): catalogue ids (source 0) first, then ids seen in training only, in order of users and of their histories; each once, where
+    it is first seen. Ordered by the last three columns, ties by item, it is the vocabulary."""
+    a = catalogue.select(F.col("item_id").cast("string").alias("item_id"), F.lit(0).alias("source"), F.lit(0).cast("long").alias("first_user"), F.lit(0).cast("long").alias("first_seen"))
+    b = sequences.filter("split = 'train'").select(F.col("item_id").cast("string").alias("item_id"), F.lit(1).alias("source"), F.col("user_id").cast("long").alias("first_user"), F.col("pos").cast("long").alias("first_seen"))
+    return a.unionByName(b).groupBy("item_id").agg(F.min(F.struct("source", "first_user", "first_seen")).alias("m")).select("item_id", "m.source", "m.first_user", "m.first_seen")
 
 
 def uniform_hash(*parts):

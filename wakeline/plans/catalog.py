@@ -79,10 +79,11 @@ def last_n_history(spark, sf):
     return prep.last_n(T.sequences(spark, sf), 10).select("user_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
-@query(f"""WITH {S.HISTORIES}, u AS (SELECT item_id, 0 AS source, 0 AS first_seen FROM items WHERE item_id IS NOT NULL UNION ALL SELECT item_id::VARCHAR, 1, pos FROM seqs WHERE split = 'train')
-SELECT item_id, min(source)::BIGINT AS source, (CASE WHEN min(source) = 0 THEN 0 ELSE min(first_seen) END)::BIGINT AS first_seen FROM u GROUP BY 1""")
+@query(f"""WITH {S.HISTORIES}, u AS (SELECT item_id, 0 AS source, 0 AS first_user, 0 AS first_seen FROM items WHERE item_id IS NOT NULL UNION ALL SELECT item_id::VARCHAR, 1, user_id, pos FROM seqs WHERE split = 'train'),
+first_of AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY source, first_user, first_seen) AS n FROM u)
+SELECT item_id, source::BIGINT AS source, first_user::BIGINT AS first_user, first_seen::BIGINT AS first_seen FROM first_of WHERE n = 1""")
 def train_vocabulary(spark, sf):
-    return prep.train_vocabulary(T.read(spark, sf, "items").filter("item_id is not null"), T.sequences(spark, sf)).select("item_id", *_big("source", "first_seen"))
+    return prep.train_vocabulary(T.read(spark, sf, "items").filter("item_id is not null"), T.sequences(spark, sf)).select("item_id", *_big("source", "first_user", "first_seen"))
 
 
 _NEG = f"""WITH {S.HISTORIES},
@@ -237,11 +238,13 @@ def latest_behaviors(spark, sf):
     return d.select("user_id", *_big("window_index"), "mechanism", "scope", "direction", "trajectory_signature")
 
 
-@query(f"""WITH {S.RECORDS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY window_index DESC, precompute_id DESC) AS r FROM usable)
-SELECT user_id, string_agg(window_index || ':' || mech || ':' || dir, ';' ORDER BY window_index, precompute_id) AS evidence FROM l WHERE r <= 3 GROUP BY 1""")
+@query(f"""WITH {S.RECORDS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY window_index DESC, precompute_id DESC) AS r,
+ array_to_string(list_filter(list_transform(coalesce(semantic_focus, keywords, []), lambda x: {S.clean("x")}), lambda y: y <> '')[1:12], ',') AS focus FROM usable)
+SELECT user_id, string_agg(concat_ws(':', window_index::VARCHAR, {S.clean("recommendation_behavior")}, coalesce(focus, ''), sign, sign, mech, scp, dir, confidence IS NULL), ';' ORDER BY window_index, precompute_id) AS evidence FROM l WHERE r <= 3 GROUP BY 1""")
 def recent_evidence(spark, sf):
     d = memories.recent_evidence(T.usable(spark, sf))
-    return d.select("user_id", F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["window_index"].cast("string"), x["mechanism"], x["direction"])), ";").alias("evidence"))
+    said = lambda x: F.concat_ws(":", x["window_index"].cast("string"), x["recommendation_behavior"], F.array_join(x["semantic_focus"], ","), x["trajectory_signature"], x["behavior_signature"], x["mechanism"], x["scope"], x["direction"], x["confidence"].isNull().cast("string"))
+    return d.select("user_id", F.array_join(F.transform("evidence", said), ";").alias("evidence"))
 
 
 @query("""WITH g AS (SELECT thought_id, max(coalesce(evolution_count, 0)) AS n FROM global_memory WHERE thought_id IS NOT NULL GROUP BY 1)

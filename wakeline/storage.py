@@ -23,11 +23,28 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _local:
         _local["dir"] = tempfile.mkdtemp(prefix="wakeline-")
+        atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
     return _local["dir"]
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def discard(spark: SparkSession) -> int:
+    """Removes the tables this process has written to the shared folder, by Hadoop's file system; how many. For when a run's results are stored: DataFrames that
+    read them can't be evaluated afterwards."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        path = fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
