@@ -59,7 +59,8 @@ def _mine(maps, starts, gap, max_len, keep_at, follow):
             longer = (*pattern, s)
             if follow is not None and longer not in follow:
                 continue
-            if hit := reach & m:
+            hit = reach & m
+            if hit.bit_count() >= keep_at:  # no more entities than bits
                 n = _entities(hit, starts)
                 if n >= keep_at:
                     yield longer, n
@@ -68,7 +69,7 @@ def _mine(maps, starts, gap, max_len, keep_at, follow):
 
     for s, m in maps.items():
         if follow is None or (s,) in follow:
-            if (n := _entities(m, starts)) >= keep_at:
+            if m.bit_count() >= keep_at and (n := _entities(m, starts)) >= keep_at:
                 yield (s,), n
                 yield from grow((s,), m)
 
