@@ -87,6 +87,7 @@ def popularity_negatives(histories: DataFrame, per_user: int = 19, seed: int = 4
     broadcast. A user for whom a million draws don't suffice raises.
     """
     spark = histories.sparkSession
+    histories = keep(histories.select("user_id", "item_id"), "touched")  # read by every round
     pop = popularity(histories).orderBy("item_id")
     items = pop.count()
     if items > CATALOGUE_LIMIT:
