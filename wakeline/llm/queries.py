@@ -56,7 +56,7 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.nearest_vectors(table(spark, sf, "global_memory"), "thought_id", "embedding")
+    return neighbours.nearest_vectors(table(spark, sf, "global_memory"), "thought_id", "embedding").withColumn("cosine", F.round("cosine", 6))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,6 +156,7 @@ w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'))
 o AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
 SELECT a AS thought_id_a, b AS thought_id_b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.6 * (x.n + y.n - k)""",
         "p4_found": f"WITH {_USABLE}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM s) SELECT DISTINCT least(a, b) AS thought_id_a, greatest(a, b) AS thought_id_b FROM r WHERE r <= 5",
+        "p4_neighbors": f"WITH {_USABLE}, r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM s) SELECT a AS thought_id, b AS neighbor, round(round(c, 9), 6) AS cosine FROM r WHERE r <= 5",
         "p6_found": f"WITH {_SEQUENCES} SELECT pattern FROM k",
         "p6_patterns": f"WITH {_SEQUENCES} SELECT pattern, len(string_split(pattern, '>'))::BIGINT AS states, users FROM k",
         "p7_found": f"WITH d AS ({_grams('SELECT doc_id AS id, text AS t FROM documents')}), e AS ({_grams('SELECT eval_id AS id, passage AS t FROM eval_passages')}) SELECT DISTINCT d.id AS doc_id, e.id AS eval_id FROM d JOIN e USING (gram)",
