@@ -79,3 +79,19 @@ def test_exact_search_finds_no_better_reading_missed(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     some, every = (sorted(map(tuple, encoding.garbled(d, **k).collect())) for k in ({}, {"beam": None, "readings": (None, None)}))
     assert [x[0] for x in some] == [x[0] for x in every] and sum(a == b for a, b in zip(some, every, strict=True)) >= 0.95 * len(some)
+
+
+def test_language_models_come_from_all_texts(spark):
+    import re
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("lang", "substr(text, 1, 90) AS text")
+    rows = spark.createDataFrame([(f"Say how the taste of reader {i} grows.", "Der Leser kauft zuerst einen Roman und danach weitere Bücher." if i % 9 == 0 else "The reader first buys a novel and then other books.") for i in range(60)], "p string, a string")
+    labels = [(re.match(r"([a-z]{2,3})(?:[-_]|$)", x["lang"].strip().lower()), x["text"]) for x in docs.collect() if x["lang"] and x["text"]]
+    want = pairs.train_languages([(m[1], t) for m, t in labels if m], [t for x in rows.collect() for t in (x["p"], x["a"])])
+    got = pairs.learn_languages(docs, rows)
+    assert got.names == want.names and got.grams.keys() == want.grams.keys()
+    assert all(np.array_equal(got.grams[g], w) for g, w in want.grams.items())
+    assert np.abs(got.usual - want.usual).max() < 1e-3
+    assert pairs.learn_languages(docs, rows, most=500).grams.keys() == want.grams.keys()
