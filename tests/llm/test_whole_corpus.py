@@ -95,3 +95,20 @@ def test_language_models_come_from_all_texts(spark):
     assert all(np.array_equal(got.grams[g], w) for g, w in want.grams.items())
     assert np.abs(got.usual - want.usual).max() < 1e-3
     assert pairs.learn_languages(docs, rows, most=500).grams.keys() == want.grams.keys()
+
+
+def test_rounds_bound_the_copies_on_disk_and_lose_no_pair(spark):
+    for rows in (10, 10_000, 400_000, 8_400_000, 10**9):
+        b = near_duplicates._blocks(rows, 37.0, 24_000, 480_000)
+        k = near_duplicates._rounds(b, 37.0, 8)
+        assert b * (1 - (1 - 1 / b) ** 37) / k <= 8 and k <= 5
+    r = random.Random(4)
+    rows = [set(r.sample(range(90), 24)) for _ in range(150)]
+    rows += [set(r.sample(sorted(x), 21)) | {r.randrange(90, 99)} for x in r.sample(rows, 120)]
+    d = spark.createDataFrame([(i, " ".join(f"w{x}" for x in ws)) for i, ws in enumerate(rows)], "id bigint, a string")
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if rows[i] != rows[j] and len(rows[i] & rows[j]) >= 0.6 * len(rows[i] | rows[j]) - 1e-9}
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for at_once in (2, 100):
+        links = near_duplicates.similar_classes(d, "id", ["a"], rows_per_block=20, copies_at_once=at_once)[1]
+        assert {(x["rep_a"], x["rep_b"]) for x in links.collect()} == want and len(want) >= 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
