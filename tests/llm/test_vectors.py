@@ -171,3 +171,15 @@ def test_hilbert_visits_every_cell_by_steps():
         at = neighbours.hilbert(grid, bits)
         assert sorted(at) == list(range(len(grid)))
         assert (np.abs(np.diff(grid[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_no_size_changes_the_clusters(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, DIMS)).astype(np.float32)
+    x = np.concatenate([x, x[:100] + 0.05 * r.normal(size=(100, DIMS)).astype(np.float32)])  # nearly all near no centre, many windows of them
+    got = {q["id"]: q["cluster_key"] for q in clusters.clusters(_frame(spark, x), "id", "v", DIMS, window=64).collect()}
+    some = np.flatnonzero((_cosines(x) >= 0.85).sum(axis=1) > 1)
+    assert got == {some[i]: some[k] for i, k in _greedy(x[some], 0.85).items()} and len(got) >= 200
+    x = _data(3, n=4, spread=0.6, sizes=(60, 90))  # linked groups that aren't all alike
+    got = {q["id"]: q["cluster_key"] for q in clusters.clusters(_frame(spark, x), "id", "v", DIMS, divide_rows=20).collect()}
+    assert got == _greedy(x, 0.85)

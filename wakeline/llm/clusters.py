@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wakeline.llm.near_duplicates import components
-from wakeline.llm.neighbours import Curve, curve_links
 from wakeline.llm.vectors import EPS, best_centre, bounds, draw_far, exact_cosine, foreign, hashed_texts, matrix, means, settle, usable_vectors, vector_table
 from wakeline.storage import keep
 
@@ -70,34 +69,69 @@ def _check(t: pa.Table, alike: float) -> pa.Table:
     return pa.table({"x": pa.array([a for a, _ in out], pa.string()), "y": pa.array([b for _, b in out], pa.string())})
 
 
-def largest_first(u: np.ndarray, raw: np.ndarray, alike: float) -> np.ndarray:
+def _rest_links(t: pa.Table, alike: float) -> pa.Table:
+    """Of two blocks of vectors near no centre, or one: links (a, b) that connect all that are alike across the two, or within the one. A forest, so no more rows than vectors."""
+    t = t.sort_by("key")
+    key, g, (raw, u) = t["key"].to_numpy(), t["g"].to_numpy(), matrix(t["v"])
+    one, other = np.flatnonzero(g == t["lo"][0].as_py()), np.flatnonzero(g == t["hi"][0].as_py())
+    lead = np.arange(len(key))
+    for x in range(0, len(one), 512):
+        i = one[x : x + 512]
+        p, q = np.nonzero(u[i] @ u[other].T >= alike - EPS)
+        p, q = i[p], other[q]
+        ok = p != q
+        p, q = p[ok], q[ok]
+        ok = exact_cosine(raw[p], raw[q]) >= alike if len(p) else np.zeros(0, bool)
+        for i, j in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+            while lead[i] != i:
+                lead[i] = i = lead[lead[i]]
+            while lead[j] != j:
+                lead[j] = j = lead[lead[j]]
+            if i != j:
+                lead[max(i, j)] = min(i, j)
+    at = np.flatnonzero(lead != np.arange(len(lead)))
+    return pa.table({"a": pa.array(key[at]), "b": pa.array(key[lead[at]])})
+
+
+def rest_links(rest: DataFrame, n: int, alike: float, window: int, most: int = 65_536) -> DataFrame:
+    """(a, b): links that connect all of n vectors (key, v) that are alike, every pair compared: quadratic work, in blocks of `window` to `most` vectors."""
+    blocks = max(-(-n // most), min(8, -(-n // window)), 1)
+    sent = rest.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(F.least("g", "o").alias("lo"), F.greatest("g", "o").alias("hi"), "g", "key", "v")
+    return sent.groupBy("lo", "hi").applyInArrow(lambda t: _rest_links(t, alike), "a bigint, b bigint").distinct()
+
+
+def largest_first(u: np.ndarray, raw: np.ndarray, alike: float, held: int = 50_000) -> np.ndarray:
     """Of unit rows in order of their keys, the first row of the set each belongs to. The row alike to most rows left starts a set, and of the rows
     alike to all of the set the one alike to most others of these joins, until none is left (ties: the smaller key); then
-    the next set is formed of the rest. Where linked rows are all alike, that is the linked rows."""
+    the next set is formed of the rest. Where linked rows are all alike, that is the linked rows. Which of up to `held` candidates are alike is kept as bits, of
+    more it is computed again as rows drop out, so memory is in proportion to the rows."""
 
     def alike_bits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         out = np.empty((len(i), (len(j) + 7) // 8), np.uint8)
-        for x in range(0, len(i), 1024):
-            s = u[i[x : x + 1024]] @ u[j].T
+        step = max(1, min(1024, (1 << 25) // max(1, len(j))))
+        for x in range(0, len(i), step):
+            s = u[i[x : x + step]] @ u[j].T
             hit = s >= alike
             p, q = np.nonzero(np.abs(s - alike) < EPS)
             if len(p):
                 hit[p, q] = exact_cosine(raw[i[x + p]], raw[j[q]]) >= alike
-            hit[i[x : x + 1024, None] == j[None, :]] = False
-            out[x : x + 1024] = np.packbits(hit, axis=1)
+            hit[i[x : x + step, None] == j[None, :]] = False
+            out[x : x + step] = np.packbits(hit, axis=1)
         return out
 
     def degrees(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bitwise_count(alike_bits(i[x : x + 4096], j)).sum(axis=1, dtype=np.int64) for x in range(0, len(i), 4096)]) if len(i) else np.zeros(0, np.int64)
+        step = max(1, min(4096, (1 << 30) // max(1, len(j))))
+        return np.concatenate([np.bitwise_count(alike_bits(i[x : x + step], j)).sum(axis=1, dtype=np.int64) for x in range(0, len(i), step)]) if len(i) else np.zeros(0, np.int64)
 
     lead, left = np.arange(len(u)), np.arange(len(u))
     degree = degrees(left, left)
     while len(left) and degree.max() > 0:
         start = left[degree.argmax()]
         near = left[np.unpackbits(alike_bits(np.array([start]), left)[0], count=len(left)).astype(bool)]
-        bits = alike_bits(near, near)
+        bits = alike_bits(near, near) if len(near) <= held else None
         free = np.ones(len(near), bool)
-        own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        own = degrees(near, near) if bits is None else np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         members = [start]
         while free.any():
             if own[free].min() == free.sum() - 1:  # all that are left are alike
@@ -105,9 +139,13 @@ def largest_first(u: np.ndarray, raw: np.ndarray, alike: float) -> np.ndarray:
                 break
             best = int(np.where(free, own, -1).argmax())
             members.append(int(near[best]))
-            keep_ = free & np.unpackbits(bits[best], count=len(near)).astype(bool)
-            gone = np.packbits(free & ~keep_)
-            own -= np.bitwise_count(bits & gone).sum(axis=1, dtype=np.int64)
+            row = alike_bits(near[[best]], near)[0] if bits is None else bits[best]
+            keep_ = free & np.unpackbits(row, count=len(near)).astype(bool)
+            gone = free & ~keep_
+            if bits is not None:
+                own -= np.bitwise_count(bits & np.packbits(gone)).sum(axis=1, dtype=np.int64)
+            elif keep_.any():
+                own[keep_] -= degrees(near[keep_], near[gone])
             free = keep_
         members = np.array(sorted(members))
         lead[members] = members[0]
@@ -116,10 +154,10 @@ def largest_first(u: np.ndarray, raw: np.ndarray, alike: float) -> np.ndarray:
     return lead
 
 
-def _divide(t: pa.Table, alike: float) -> pa.Table:
+def _divide(t: pa.Table, alike: float, held: int) -> pa.Table:
     t = t.sort_by("key")
     key, (raw, u) = t["key"].to_numpy(), matrix(t["v"])
-    return pa.table({"lead": pa.array(key[largest_first(u, raw, alike)]), "key": pa.array(key)})
+    return pa.table({"lead": pa.array(key[largest_first(u, raw, alike, held)]), "key": pa.array(key)})
 
 
 def clusters(
@@ -132,9 +170,8 @@ def clusters(
     join: float = 0.87,
     seed: int = 42,
     rim_block: int = 8192,
-    rest_curves: int = 8,
     window: int = 2048,
-    divide_rows: int = 200_000,
+    divide_rows: int = 50_000,
 ) -> DataFrame:
     """(cluster_key, key): members of each cluster of two or more; cluster_key is its smallest key.
 
@@ -146,10 +183,9 @@ def clusters(
 
     k-means finds the cells. Then every vector is held against the exact bounds of all cells: members within half the
     angle of alikeness of their centre need no check; the rim is compared within the cell, and with the vectors of elsewhere that
-    come into question, in blocks. Vectors near no centre meet each other in windows of rest_curves space-filling curves laid through these
-    alone: every pair of them up to two windows, linear work beyond. Only cells that fail, and linked rests, are gathered and
-    divided, a linked group in one task; a group of over divide_rows vectors is first parted by its vectors' nearest cells, and a part
-    still larger by curve ranges of that many, so that no task holds more.
+    come into question, in blocks. Vectors near no centre are compared with each other, every pair of them, in blocks of `window` or more: quadratic
+    work. Only cells that fail, and linked rests, are gathered and divided, a linked group in one task, whatever its size; memory is in proportion to the group
+    (of up to divide_rows candidates for a set, the bits that tell which are alike are kept besides). No size changes the result.
     """
     table, copies = vector_table(df, key, vector, dims, buckets=1 << max(0, (dims - 1).bit_length()))
     spark = table.sparkSession
@@ -166,8 +202,7 @@ def clusters(
         c = shared.value[0]
         for x in batches:
             nearest, cos = best_centre(matrix(x.column(1))[1], c)
-            home = np.where(cos < near, -1, nearest)
-            yield pa.record_batch([x.column(0), pa.array(home.astype(np.int32)), pa.array(nearest.astype(np.int32))], names=["key", "home", "nearest"])
+            yield pa.record_batch([x.column(0), pa.array(np.where(cos < near, -1, nearest).astype(np.int32))], names=["key", "home"])
 
     def rim_rows(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, home) of the rows that must be compared in a cell: its rim, and intruders."""
@@ -203,12 +238,11 @@ def clusters(
             rows = [(int(cell[k]), int(min(g[k], b)), int(max(g[k], b)), int(g[k]), int(key_[row[k]]), int(home[k]), v[row[k]]) for k, b in zip(rep.tolist(), o.tolist(), strict=True)]
             yield _emit(rows, ["cell", "lo", "hi", "g", "key", "home", "v"], [pa.int64()] * 6 + [pa.binary()])
 
-    placed = keep(table.mapInArrow(place, "key bigint, home int, nearest int"), "placed")
+    placed = keep(table.mapInArrow(place, "key bigint, home int"), "placed")
     links = keep(table.mapInArrow(rim, "cell bigint, lo bigint, hi bigint, g bigint, key bigint, home bigint, v binary").groupBy("cell", "lo", "hi").applyInArrow(lambda t: _check(t, alike), "x string, y string").distinct(), "cell-links")
     rest = keep(table.join(placed.filter("home < 0").select("key"), "key"), "rest")
     lone = rest.count()
-    laid = [Curve(c, centres.shape[1]) for c in range(rest_curves if lone > 2 * window else 1)]
-    edges = curve_links(rest, lone, alike, laid, window).select(F.concat(F.lit("r"), "a").alias("x"), F.concat(F.lit("r"), "b").alias("y"))
+    edges = rest_links(rest, lone, alike, window).select(F.concat(F.lit("r"), "a").alias("x"), F.concat(F.lit("r"), "b").alias("y"))
     edges = keep(links.filter("y <> '!'").unionByName(edges).distinct(), "links")
     group = components(edges, "x", "y")
     odd = links.filter("y = '!'").select(F.col("x").alias("node")).distinct().join(group, "node", "left_anti").select("node", F.col("node").alias("component"))
@@ -217,13 +251,8 @@ def clusters(
     # odd groups are divided; all other cells are clusters as they stand
     node = F.when(F.col("home") >= 0, F.concat(F.lit("c"), "home")).otherwise(F.concat(F.lit("r"), "key"))
     named = placed.withColumn("node", node).join(group, "node", "left")
-    size = named.filter("component is not null").groupBy("component").count().filter(F.col("count") > divide_rows).select("component")
-    odd_rows = named.filter("component is not null").join(size.withColumn("huge", F.lit(True)), "component", "left").withColumn("part", F.when(F.col("huge"), F.col("nearest")).otherwise(-1))
-    odd_rows = keep(odd_rows.select("component", "part", "key").join(table, "key"), "odd-rows")
-    heavy = {(r["component"], r["part"]): -(-r["count"] // divide_rows) for r in odd_rows.groupBy("component", "part").count().filter(F.col("count") > divide_rows).collect()}
-    if heavy:  # at most one a divide_rows vectors
-        odd_rows = _in_ranges(odd_rows, heavy, Curve(0, centres.shape[1]))
-    divided = odd_rows.groupBy("component", "part").applyInArrow(lambda t: _divide(t.select(["key", "v"]), alike), "lead bigint, key bigint").select(F.col("lead").alias("cluster_key"), "key")
+    odd_rows = keep(named.filter("component is not null").select("component", "key").join(table, "key"), "odd-rows")
+    divided = odd_rows.groupBy("component").applyInArrow(lambda t: _divide(t.select(["key", "v"]), alike, divide_rows), "lead bigint, key bigint").select(F.col("lead").alias("cluster_key"), "key")
     whole = named.filter("component is null and home >= 0").select("home", "key")
     first = whole.groupBy("home").agg(F.min("key").alias("cluster_key"))  # a row a cell: bounded by the number of centres
     out = divided.unionByName(whole.join(F.broadcast(first), "home").select("cluster_key", "key"))
@@ -233,26 +262,6 @@ def clusters(
     return out.join(size, "cluster_key", "left_semi").select("cluster_key", F.col("key").alias(key))
 
 
-def _in_ranges(rows: DataFrame, heavy: dict[tuple[str, int], int], curve: Curve) -> DataFrame:
-    """rows (component, part, key, v) with the parts named in heavy cut into that many ranges of a curve, each its own part: the cuts come from approximate quantiles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u = matrix(b.column(3))[1]
-            yield pa.record_batch([*b.columns, pa.array(curve(u) if len(u) else np.zeros(0, np.int64))], names=["component", "part", "key", "v", "place"])
-
-    placed = keep(rows.select("component", "part", "key", "v").mapInArrow(run, "component string, part int, key bigint, v binary, place bigint"), "odd-places")
-    spark = rows.sparkSession
-    many = spark.createDataFrame([(c, p, n) for (c, p), n in heavy.items()], "component string, part int, ranges bigint")
-    grid = max(heavy.values())
-    share = F.array(*[F.lit(i / grid) for i in range(1, grid)])
-    cuts = placed.join(F.broadcast(many), ["component", "part"]).groupBy("component", "part").agg(F.percentile_approx("place", share, 10 * grid).alias("cuts"), F.max("ranges").alias("ranges"))
-    cut = placed.join(F.broadcast(cuts), ["component", "part"], "left")
-    above = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("place")))
-    step = F.floor(above * F.coalesce("ranges", F.lit(1)) / grid)
-    return cut.select(F.concat_ws("/", "component", step.cast("string")).alias("component"), "part", "key", "v")
-
-
 def member_cosines(members: DataFrame, df: DataFrame, key: str, vector: str, dims: int = 64) -> DataFrame:
     """members (cluster_key, key) with centroid_cosine: to the mean of the cluster's own unit vectors. The means are summed in each task
     before they are shuffled, so a cluster with a third of all rows leaves a task as one row; they are joined back by cluster."""

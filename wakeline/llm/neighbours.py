@@ -198,41 +198,6 @@ def curve_lists(table: DataFrame, n: int, k: int, alike: float, curves: list[Cur
     return out
 
 
-def curve_links(table: DataFrame, n: int, alike: float, curves: list[Curve], window: int, windows_a_task: int = 8) -> DataFrame:
-    """(a, b): links that connect all vectors that are alike within a window of a curve and those beside it: a forest, so no more rows than
-    vectors a curve, however many pairs there are."""
-
-    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: np.ndarray | None = None
-        for key, raw, u, own, near in windows_of(batches, window):
-            if lead is None:
-                lead = np.arange(len(key))
-            for x in range(own.start, own.stop, 1024):
-                rows = np.arange(x, min(x + 1024, own.stop))
-                p, q = np.nonzero(u[rows] @ u[own.start : near.stop].T >= alike - EPS)  # the window before did the other half
-                p, q = rows[p], own.start + q
-                ok = p < q
-                p, q = p[ok], q[ok]
-                ok = exact_cosine(raw[p], raw[q]) >= alike if len(p) else np.zeros(0, bool)
-                for i, j in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
-                    while lead[i] != i:
-                        lead[i] = i = lead[lead[i]]
-                    while lead[j] != j:
-                        lead[j] = j = lead[lead[j]]
-                    if i != j:
-                        lead[max(i, j)] = min(i, j)
-        if lead is None:
-            return
-        at = np.flatnonzero(lead != np.arange(len(lead)))
-        yield pa.record_batch([pa.array(key[at]), pa.array(key[lead[at]])], names=["a", "b"])
-
-    out = None
-    for c in curves:
-        one = along(table, c, n, window, windows_a_task).mapInArrow(connect, "a bigint, b bigint")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
-
-
 def nearest_vectors(
     df: DataFrame,
     key: str,
